@@ -124,6 +124,7 @@ class Packer:
             key, ids, start, _, total = x = self.pool[i]
             self._place(key, ids, start, take, total, sequence, room - rest[0])
             x[2] += take
+            x[3] -= take
             left[i] -= take
             if left[i] == 0:
                 live[i] = False
