@@ -14,7 +14,9 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import os
+import re
 import zlib
 
 import numpy as np
@@ -32,15 +34,27 @@ class WordEncoder:
     """Token ids of texts as little-endian uint32 bytes, one dictionary look-up a word.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it,
-    so the ids of a text are those of its words in order.
+    so the ids of a text are those of its words in order. Words of ASCII and
+    Latin-1 letters are cut into the pre-tokeniser's runs here and only the
+    byte-pair model is asked, once a run; any other word goes the full way.
     """
 
+    #: The pre-tokeniser's pattern over the letters that SIMPLE admits.
+    LETTERS = "a-zªµºß-öø-ÿ"
+    RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+    SIMPLE = re.compile("[\x21-\x7eªµºÀ-ÖØ-öø-ÿ]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.full = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.full.model)
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in set(printable)]
+        self.visible = {b: 256 + i for i, b in enumerate(others)}
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> "WordEncoder":
@@ -48,16 +62,33 @@ class WordEncoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
+    def learn(self, new: list[bytes]) -> None:
+        """Adds the ids of new words to ``known``."""
+        texts = [w.decode("utf-8", "replace") for w in new]
+        simple = [self.RUNS.findall(t.lower()) if self.SIMPLE.fullmatch(t) and "<|" not in t else None for t in texts]
+        runs = self.runs
+        if len(runs) > CACHE_WORDS:
+            runs.clear()
+        fresh = list({r for rs in simple if rs for r in rs} - runs.keys())
+        shown = [r if r.isascii() else r.encode().decode("latin-1").translate(self.visible) for r in fresh]
+        runs.update(zip(fresh, map(self.as_bytes, self.model.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
+        rest = [t for t, rs in zip(texts, simple, strict=True) if rs is None]
+        coded = iter(self.full.encode_batch_fast(rest, add_special_tokens=False))
+        for w, rs in zip(new, simple, strict=True):
+            self.known[w] = self.as_bytes(next(coded)) if rs is None else b"".join([runs[r] for r in rs])
+
+    @staticmethod
+    def as_bytes(coded) -> bytes:
+        return array.array("I", coded.ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = set().union(*words) - self.known.keys()
         if new:
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update(zip(new, (np.array(c.ids, "<u4").tobytes() for c in coded), strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
 class Packer:
