@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import bit_map, in_bit_map, materialize
 from .words import Words, gram_hash, text_chunks
 
 SKETCH = 128
 LISTED = 32
 MISS = 1e-7
-BITS = 1 << 24
 BLOCK_DOCS = 1024
 BLOCK_VALUES = 1 << 20
 
@@ -126,30 +125,6 @@ def leader_groups(lists: DataFrame) -> DataFrame:
     return lists.join(leaders, "value").select("leader", "doc", "n").distinct()
 
 
-def id_slots(ids: np.ndarray) -> np.ndarray:
-    """A slot in the fixed-size bit map for each id."""
-    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(29))) & np.uint64(BITS - 1)).astype(np.int64)
-
-
-def bit_map(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size (BITS bits, 2 MB) that holds the slots of all ids; its words are gathered from the cluster."""
-
-    def run(batches):
-        seen = np.zeros(BITS // 8, np.uint8)
-        for batch in batches:
-            slots = id_slots(batch.column(0).to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(seen, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-        words = seen.view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "word"])
-
-    total = np.zeros(BITS // 64, np.int64)
-    merged = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
-    total[merged["at"].to_numpy(np.int64)] = merged["word"].to_numpy(np.int64)
-    return total.view(np.uint8)
-
-
 def full_sets(docs: DataFrame, wanted: np.ndarray, shingle: int) -> DataFrame:
     """(doc, values): full sorted sets of the documents whose slot is in the bit map (a superset of those asked for)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -157,10 +132,7 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, shingle: int) -> DataFrame:
     def run(batches):
         bits = shared.value
         for batch in batches:
-            keep = batch.column(0).is_valid()
-            slots = id_slots(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-            hit = keep.to_numpy(zero_copy_only=False) & ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
-            batch = pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns], batch.schema.names)
+            batch = in_bit_map(batch, bits)
             for row, data, offsets in text_chunks(batch):
                 sets = [s.tobytes() for s in shingle_sets(Words(data, offsets, lower=True), shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(sets, pa.binary())], ["doc", "values"])

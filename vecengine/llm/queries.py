@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, neardup, packing, pieces, quality, secrets, topk_search
+from . import chat, neardup, packing, pieces, quality, secrets, substring, topk_search
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +40,10 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest_kept(table(spark, sf_dir, "documents"))
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_neardup": op5_neardup,
+    "op8_substring": op8_substring,
     "op9_topk": op9_topk,
     "op10_secrets": op10_secrets,
 }

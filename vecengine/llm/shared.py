@@ -1,4 +1,4 @@
-"""Tables that cut lineage, kept in the folder that the whole cluster shares."""
+"""Tables that cut lineage, kept in the folder that the whole cluster shares, and bit maps of ids of a fixed size."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BITS = 1 << 24
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -39,3 +43,35 @@ def _remove_all() -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended: the folder's owner clears it
             return
+
+
+def id_slots(ids: np.ndarray) -> np.ndarray:
+    """A slot in the fixed-size bit map for each id."""
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def bit_map(ids: DataFrame) -> np.ndarray:
+    """A bit map of fixed size (BITS bits, 2 MB) that holds the slots of all ids; its words are gathered from the cluster."""
+
+    def run(batches):
+        seen = np.zeros(BITS // 8, np.uint8)
+        for batch in batches:
+            slots = id_slots(batch.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(seen, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+        words = seen.view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "word"])
+
+    total = np.zeros(BITS // 64, np.int64)
+    merged = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    total[merged["at"].to_numpy(np.int64)] = merged["word"].to_numpy(np.int64)
+    return total.view(np.uint8)
+
+
+def in_bit_map(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose first column is not null and has its slot in the bit map."""
+    ids = batch.column(0)
+    slots = id_slots(ids.fill_null(0).to_numpy(zero_copy_only=False))
+    hit = ids.is_valid().to_numpy(zero_copy_only=False) & ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+    return batch.filter(pa.array(hit))
