@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, neardup, packing, pieces, quality, secrets, substring, topk_search
+from . import chat, classifier, neardup, packing, pieces, quality, secrets, substring, topk_search
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +44,10 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_kept(table(spark, sf_dir, "documents"))
 
 
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_neardup": op5_neardup,
+    "op7_classifier": op7_classifier,
     "op8_substring": op8_substring,
     "op9_topk": op9_topk,
     "op10_secrets": op10_secrets,
