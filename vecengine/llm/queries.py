@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, classifier, neardup, packing, pieces, quality, secrets, substring, topk_search
+from . import chat, classifier, neardup, packing, pieces, quality, scoring, secrets, substring, topk_search
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,6 +48,10 @@ def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_neardup": op5_neardup,
+    "op6_scoring": op6_scoring,
     "op7_classifier": op7_classifier,
     "op8_substring": op8_substring,
     "op9_topk": op9_topk,
