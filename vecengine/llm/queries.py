@@ -52,6 +52,12 @@ def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_topk": op9_topk,
     "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
