@@ -1,2 +1,60 @@
-STAGES = []
+"""Documents to packed training sequences: filter, deduplicate twice, redact, pack.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vecengine.llm import classifier, neardup, packing, secrets, substring
+from vecengine.llm.queries import WORD_BPE, table
+from vecengine.llm.shared import materialize
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur earlier are cut out of the texts."""
+    return substring.remove_passages(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    return secrets.redact_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and the sequences that hold them."""
+    return packing.pack_documents(docs, WORD_BPE)
+
+
+STAGES = [
+    ("quality classifier", keep_good_quality),
+    ("near duplicates", keep_one_of_each),
+    ("repeated passages", cut_repeats),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Tokenising and the classifier are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
