@@ -2,8 +2,8 @@
 
 Rows are ordered by the first ``depth`` symbols of their suffixes, and equal
 ones by a key of the caller's. Backward search for patterns of up to ``depth``
-symbols then finds exact intervals, and the first row of an interval is its
-occurrence of least key.
+symbols then finds exact intervals; for patterns of just ``depth`` symbols, the
+first row of an interval is the occurrence of least key.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ class BitRanks:
 
 
 class FMIndex:
-    """Index of a symbol sequence (values 0..top) for patterns of at most ``depth`` (a power of two) symbols."""
+    """Index of a symbol sequence for patterns of at most ``depth`` (a power of two) symbols.
+
+    Symbols are 1..top; 0 separates, ends the sequence and is in no pattern.
+    """
 
     def __init__(self, symbols: np.ndarray, order_key: np.ndarray, depth: int):
         n = len(symbols)

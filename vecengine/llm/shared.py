@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -32,15 +33,32 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Frees what no later step reads: the files of ``tables`` (from ``materialize``) and the shuffles of finished jobs.
+
+    Spark drops a shuffle when the driver's garbage collector finds it
+    unreferenced, which on an idle heap can take half an hour.
+    """
+    for table in tables:
+        _remove(spark, table.written_to)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_all() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session has ended: the folder's owner clears it
             return
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .fmindex import FMIndex
-from .shared import bit_map, in_bit_map, materialize
+from .shared import bit_map, in_bit_map, materialize, release
 from .words import Words, gram_hash, mix, text_chunks
 
 GRAM = 5
@@ -82,21 +82,16 @@ def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """(shard, salted, doc, place, windows, hashes) of each run: its words' hashes as bytes."""
     wanted = docs.sparkSession.sparkContext.broadcast(bit_map(runs.select("doc").distinct()))
 
-    def hashed(batches):
-        bits = wanted.value
+    def holding(batches):
         for batch in batches:
-            batch = in_bit_map(batch, bits)
-            for row, data, offsets in text_chunks(batch):
-                words = Words(data, offsets)
-                h = words.hashes().tobytes()
-                parts = [h[8 * a : 8 * b] for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(parts)), pa.array(parts, pa.binary())], ["doc", "words"])
+            yield in_bit_map(batch, wanted.value)
 
     def cut(batches):
         for batch in batches:
             doc, shard, salted, place, windows, out = [], [], [], [], [], []
             for i in range(batch.num_rows):
-                words = batch.column(1)[i].as_py()
+                data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
+                words = Words(data, np.array([0, len(data)])).hashes().tobytes()
                 listed = batch.column(2)[i].values
                 runs_, shards, salts = (listed.field(j).to_numpy() for j in range(3))
                 at, n = runs_ // 32, runs_ % 32
@@ -108,7 +103,7 @@ def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 columns = [np.concatenate(x) for x in (shard, salted, doc, place, windows)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(out, pa.binary())], ["shard", "salted", "doc", "place", "windows", "hashes"])
 
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(hashed, "doc long, words binary").dropDuplicates(["doc"])
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc IS NOT NULL").mapInArrow(holding, "doc long, text string").dropDuplicates(["doc"])
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("run", "shard", "salted")).alias("runs"))
     return texts.join(lists, "doc").mapInArrow(cut, "shard long, salted long, doc long, place long, windows long, hashes binary")
 
@@ -174,6 +169,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc"), salts)
     routed = joined.select("doc", "run", F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"), (salts > 1).cast("long").alias("salted"))
     routed = materialize(routed, "routed")
+    release(docs.sparkSession, runs, often)
 
     def run(table: pa.Table) -> pa.Table:
         doc, place, windows, salted = (table.column(x).to_numpy() for x in ("doc", "place", "windows", "salted"))
@@ -181,6 +177,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         return pa.table(dict(zip(("doc", "start", "mask", "print"), map(pa.array, search_shard(doc, place, windows, salted, words)), strict=True)))
 
     found = materialize(stretches(docs, routed).groupBy("shard").applyInArrow(run, "doc long, start long, mask long, print long"), "found")
+    release(docs.sparkSession, routed)
     unsettled = found.where("mask = 0")
     firsts = unsettled.groupBy("print").agg(F.min(F.struct("doc", "start")).alias("first"))
     later = unsettled.join(firsts, "print").where(F.struct("doc", "start") > F.col("first"))
@@ -189,8 +186,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def with_windows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with ``__windows``: the (start, mask) pairs of their repeated windows."""
-    lists = repeated_windows(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("__windows"))
-    return docs.join(lists, docs["doc_id"] == lists["doc"], "left").drop("doc")
+    lists = repeated_windows(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "mask")).alias("__windows"))
+    return docs.join(lists, "doc_id", "left")
 
 
 def covered_words(windows, n_words: int) -> np.ndarray:
