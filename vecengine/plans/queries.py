@@ -66,7 +66,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6(column: str | Column) -> Column:
-    return F.round(column, 6)
+    """Rounded to six places, zero without a sign."""
+    return F.round(column, 6) + F.lit(0.0)
 
 
 def long_values(rows: DataFrame, name: str = "value") -> DataFrame:
@@ -81,32 +82,32 @@ def entries(rows: DataFrame) -> DataFrame:
 # Reductions
 
 
-@register("SELECT round(sum(v), 6) AS total FROM l")
+@register("SELECT round(sum(v), 6) + 0.0 AS total FROM l")
 def vec_sum_all(spark, sf_dir):
     return reduce.sum_all(samples(spark, sf_dir)).select(r6("total").alias("total"))
 
 
-@register("SELECT pos, round(sum(v), 6) AS total FROM l GROUP BY pos")
+@register("SELECT pos, round(sum(v), 6) + 0.0 AS total FROM l GROUP BY pos")
 def vec_sum_axis0(spark, sf_dir):
     return reduce.sum_axis0(samples(spark, sf_dir)).select("pos", r6("total").alias("total"))
 
 
-@register("SELECT id, round(list_sum(f), 6) AS total FROM s")
+@register("SELECT id, round(list_sum(f), 6) + 0.0 AS total FROM s")
 def vec_sum_axis1(spark, sf_dir):
     return reduce.sum_axis1(samples(spark, sf_dir)).select("id", r6("total").alias("total"))
 
 
-@register("SELECT pos, round(sum(v * v), 6) AS total FROM l GROUP BY pos")
+@register("SELECT pos, round(sum(v * v), 6) + 0.0 AS total FROM l GROUP BY pos")
 def vec_fused_sumsq(spark, sf_dir):
     return reduce.sum_axis0(samples(spark, sf_dir), V.square).select("pos", r6("total").alias("total"))
 
 
-@register("SELECT round(sum(abs(v)), 6) AS total FROM l")
+@register("SELECT round(sum(abs(v)), 6) + 0.0 AS total FROM l")
 def vec_fused_sum_all(spark, sf_dir):
     return reduce.sum_all(samples(spark, sf_dir), F.abs).select(r6("total").alias("total"))
 
 
-@register("SELECT id, round(list_sum(list_transform(f, lambda x: x * x)), 6) AS total FROM s")
+@register("SELECT id, round(list_sum(list_transform(f, lambda x: x * x)), 6) + 0.0 AS total FROM s")
 def vec_fused_axis1(spark, sf_dir):
     return reduce.sum_axis1(samples(spark, sf_dir), V.square).select("id", r6("total").alias("total"))
 
@@ -116,17 +117,17 @@ def vec_sum_empty(spark, sf_dir):
     return reduce.sum_all(samples(spark, sf_dir).where("id < 0"))
 
 
-@register("SELECT pos, round(sum(v * v) / 2, 6) AS half_norm FROM l GROUP BY pos")
+@register("SELECT pos, round(sum(v * v) / 2, 6) + 0.0 AS half_norm FROM l GROUP BY pos")
 def vec_half_norm(spark, sf_dir):
     return reduce.half_norms_axis0(samples(spark, sf_dir)).select("pos", r6("half_norm").alias("half_norm"))
 
 
-@register("SELECT id, round(list_sum(list_transform(f, lambda x: x * x)) / 2, 6) AS half_norm FROM s")
+@register("SELECT id, round(list_sum(list_transform(f, lambda x: x * x)) / 2, 6) + 0.0 AS half_norm FROM s")
 def vec_half_norm_rows(spark, sf_dir):
     return samples(spark, sf_dir).select("id", r6(V.half_norm(F.col("features"))).alias("half_norm"))
 
 
-@register("SELECT pos, round(avg(v), 6) AS mean FROM l GROUP BY pos")
+@register("SELECT pos, round(avg(v), 6) + 0.0 AS mean FROM l GROUP BY pos")
 def feature_mean(spark, sf_dir):
     return reduce.column_means(samples(spark, sf_dir)).select("pos", r6("mean").alias("mean"))
 
@@ -146,7 +147,7 @@ def digit_histogram(spark, sf_dir):
 # Element-wise
 
 
-@register("SELECT id, pos, round(v * v + 1, 6) AS value FROM l")
+@register("SELECT id, pos, round(v * v + 1, 6) + 0.0 AS value FROM l")
 def vec_elementwise(spark, sf_dir):
     return long_values(samples(spark, sf_dir).withColumn("features", V.elementwise(F.col("features"), lambda v: v * v + 1)))
 
@@ -156,45 +157,45 @@ def vec_zeros(spark, sf_dir):
     return long_values(samples(spark, sf_dir).withColumn("features", V.zeros(64)))
 
 
-@register("SELECT id, pos, round(v / total, 6) AS value FROM l JOIN (SELECT pos, sum(abs(v)) AS total FROM l GROUP BY pos) USING (pos)")
+@register("SELECT id, pos, round(v / total, 6) + 0.0 AS value FROM l JOIN (SELECT pos, sum(abs(v)) AS total FROM l GROUP BY pos) USING (pos)")
 def vec_scale_div(spark, sf_dir):
     rows = samples(spark, sf_dir)
     return long_values(reduce.divided_by_columns(rows, reduce.as_vector(reduce.sum_axis0(rows, F.abs), "total")))
 
 
-@register("SELECT id, pos, round(v - list_avg(f), 6) AS value FROM l JOIN s USING (id)")
+@register("SELECT id, pos, round(v - list_avg(f), 6) + 0.0 AS value FROM l JOIN s USING (id)")
 def vec_row_minus(spark, sf_dir):
     mean = V.total(F.col("features")) / F.size("features")
     rows = samples(spark, sf_dir).withColumn("m", mean)
     return long_values(rows.withColumn("features", V.with_scalar(F.col("features"), F.col("m"), V.minus)))
 
 
-@register("SELECT id, pos, round(v + w, 6) AS value FROM l")
+@register("SELECT id, pos, round(v + w, 6) + 0.0 AS value FROM l")
 def vec_row_plus(spark, sf_dir):
     return long_values(samples(spark, sf_dir).withColumn("features", V.with_scalar(F.col("features"), F.col("weight"), V.plus)))
 
 
-@register("SELECT id, pos, round(v / 4.0, 6) AS value FROM l")
+@register("SELECT id, pos, round(v / 4.0, 6) + 0.0 AS value FROM l")
 def vec_divide_by(spark, sf_dir):
     return long_values(samples(spark, sf_dir).withColumn("features", V.elementwise(F.col("features"), V.divide_by(4))))
 
 
-@register("SELECT id, pos, round(v - mean, 6) AS value FROM l JOIN (SELECT pos, avg(v) AS mean FROM l GROUP BY pos) USING (pos)")
+@register("SELECT id, pos, round(v - mean, 6) + 0.0 AS value FROM l JOIN (SELECT pos, avg(v) AS mean FROM l GROUP BY pos) USING (pos)")
 def vec_center(spark, sf_dir):
     return long_values(reduce.centered(samples(spark, sf_dir)))
 
 
-@register("SELECT id, pos, round((v - low) / (high - low), 6) AS value FROM l JOIN (SELECT pos, min(v) AS low, max(v) AS high FROM l GROUP BY pos) USING (pos)")
+@register("SELECT id, pos, round((v - low) / (high - low), 6) + 0.0 AS value FROM l JOIN (SELECT pos, min(v) AS low, max(v) AS high FROM l GROUP BY pos) USING (pos)")
 def vec_minmax(spark, sf_dir):
     return long_values(datasets.min_max_scaled(samples(spark, sf_dir)))
 
 
-@register("SELECT id, round(sqrt(list_sum(list_transform(f, lambda x: x * x))), 6) AS norm FROM s")
+@register("SELECT id, round(sqrt(list_sum(list_transform(f, lambda x: x * x))), 6) + 0.0 AS norm FROM s")
 def vec_sqrt_norm(spark, sf_dir):
     return samples(spark, sf_dir).select("id", r6(F.sqrt(V.total(F.col("features"), V.square))).alias("norm"))
 
 
-@register("SELECT id, pos, round(v, 6) AS value FROM l WHERE id IN (3, 7, 11)")
+@register("SELECT id, pos, round(v, 6) + 0.0 AS value FROM l WHERE id IN (3, 7, 11)")
 def vec_gather(spark, sf_dir):
     return long_values(samples(spark, sf_dir).where(F.col("id").isin(3, 7, 11)))
 
@@ -212,7 +213,7 @@ def topk_idx_global(spark, sf_dir):
     return topk.topk_idx(table(spark, sf_dir, "events"), "value", "event_id", 10)
 
 
-@register("SELECT id, r, round(v, 6) AS value FROM (SELECT id, v, CAST(row_number() OVER (PARTITION BY id ORDER BY v DESC) - 1 AS INTEGER) AS r FROM l) WHERE r < 5")
+@register("SELECT id, r, round(v, 6) + 0.0 AS value FROM (SELECT id, v, CAST(row_number() OVER (PARTITION BY id ORDER BY v DESC) - 1 AS INTEGER) AS r FROM l) WHERE r < 5")
 def topk_row(spark, sf_dir):
     return topk.topk_rows(samples(spark, sf_dir), 5).select("id", F.posexplode("values").alias("r", "v")).select("id", "r", r6("v").alias("value"))
 
@@ -236,27 +237,27 @@ def kth_value_count(spark, sf_dir):
 # Distances and assignment
 
 
-@register("SELECT id, cluster_id, round(sqrt(d2), 6) AS distance FROM p")
+@register("SELECT id, cluster_id, round(sqrt(d2), 6) + 0.0 AS distance FROM p")
 def pairwise_distance(spark, sf_dir):
     return assign.pairwise(samples(spark, sf_dir), centers(spark, sf_dir)).select("id", "cluster_id", r6("distance").alias("distance"))
 
 
-@register("SELECT cluster_id, count(*) AS n, round(sum(d2), 6) AS inertia FROM a GROUP BY cluster_id")
+@register("SELECT cluster_id, count(*) AS n, round(sum(d2), 6) + 0.0 AS inertia FROM a GROUP BY cluster_id")
 def nearest_centroid(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy(F.col("label").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d2")).alias("inertia"))
 
 
-@register("SELECT id, cluster_id AS label, round(w * d2, 6) AS weighted_d2 FROM a")
+@register("SELECT id, cluster_id AS label, round(w * d2, 6) + 0.0 AS weighted_d2 FROM a")
 def label_lookup(spark, sf_dir):
     return assign.looked_up(labelled(spark, sf_dir), centers(spark, sf_dir)).select("id", "label", r6("weighted_d2").alias("weighted_d2"))
 
 
-@register("SELECT round(sum(w * d2), 6) AS inertia FROM a")
+@register("SELECT round(sum(w * d2), 6) + 0.0 AS inertia FROM a")
 def inertia(spark, sf_dir):
     return assign.inertia(labelled(spark, sf_dir)).select(r6("inertia").alias("inertia"))
 
 
-@register("SELECT round(-sum(d2), 6) AS score FROM a")
+@register("SELECT round(-sum(d2), 6) + 0.0 AS score FROM a")
 def score(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("weight", F.lit(1.0))
     return assign.inertia(rows).select(r6(-F.col("inertia")).alias("score"))
@@ -273,7 +274,7 @@ def predict_blocks(spark, sf_dir):
     return assign.labels(samples(spark, sf_dir), np.array([r["center"] for r in own]), backend="arrow")
 
 
-@register("SELECT id, cluster_id, round(sqrt(d2), 6) AS distance FROM p")
+@register("SELECT id, cluster_id, round(sqrt(d2), 6) + 0.0 AS distance FROM p")
 def transform_blocks(spark, sf_dir):
     own = centers(spark, sf_dir).orderBy("cluster_id").collect()
     found = assign.distances(samples(spark, sf_dir), np.array([r["center"] for r in own]))
@@ -310,27 +311,27 @@ def tabular_nearest(spark, sf_dir):
 # Matrix products
 
 
-@register("SELECT x.id AS i, y.id AS j, round(sum(x.v * y.v), 6) AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
+@register("SELECT x.id AS i, y.id AS j, round(sum(x.v * y.v), 6) + 0.0 AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
 def matmul_small(spark, sf_dir):
     rows = samples(spark, sf_dir)
     return linalg.matmul_long(entries(rows.where("id < 40")), entries(rows.where("id < 12"))).select("i", "j", r6("value").alias("value"))
 
 
-@register("SELECT x.id AS i, y.id AS j, round(sum(abs(x.v - y.v)), 6) AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
+@register("SELECT x.id AS i, y.id AS j, round(sum(abs(x.v - y.v)), 6) + 0.0 AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
 def matmul_absdiff(spark, sf_dir):
     rows = samples(spark, sf_dir)
     out = linalg.matmul_long(entries(rows.where("id < 40")), entries(rows.where("id < 12")), multiply=lambda a, b: F.abs(a - b))
     return out.select("i", "j", r6("value").alias("value"))
 
 
-@register("SELECT x.id AS i, y.id AS j, round(1 + exp(sum(x.v * y.v)), 6) AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
+@register("SELECT x.id AS i, y.id AS j, round(1 + exp(sum(x.v * y.v)), 6) + 0.0 AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
 def matmul_epilogue(spark, sf_dir):
     rows = samples(spark, sf_dir)
     out = linalg.matmul_long(entries(rows.where("id < 40")), entries(rows.where("id < 12")), finish=lambda v: F.exp(v) + 1)
     return out.select("i", "j", r6("value").alias("value"))
 
 
-@register("SELECT s.id AS i, c.cluster_id AS j, round(list_sum(list_transform(list_zip(s.f, c.f), lambda t: t[1] * t[2])), 6) AS value FROM s CROSS JOIN c")
+@register("SELECT s.id AS i, c.cluster_id AS j, round(list_sum(list_transform(list_zip(s.f, c.f), lambda t: t[1] * t[2])), 6) + 0.0 AS value FROM s CROSS JOIN c")
 def matmul_rows(spark, sf_dir):
     own = centers(spark, sf_dir).orderBy("cluster_id").collect()
     out = linalg.matmul_rows(samples(spark, sf_dir), np.array([r["center"] for r in own]))
@@ -340,7 +341,7 @@ def matmul_rows(spark, sf_dir):
 # Update step
 
 
-UPDATE = "SELECT cluster_id, pos, round(sum({w} * v) / sum({w}), 6) AS value FROM a JOIN (SELECT id, v, pos FROM l) USING (id) GROUP BY cluster_id, pos"
+UPDATE = "SELECT cluster_id, pos, round(sum({w} * v) / sum({w}), 6) + 0.0 AS value FROM a JOIN (SELECT id, v, pos FROM l) USING (id) GROUP BY cluster_id, pos"
 
 
 @register(UPDATE.format(w="1"))
@@ -390,7 +391,7 @@ def lloyd_steps(spark, sf_dir, steps: int) -> tuple[DataFrame, DataFrame]:
     return own, assign.nearest(rows, own)
 
 
-@register(ONE + "SELECT round(sum(list_sum(list_transform(list_zip(c.f, c1.f), lambda t: (t[1] - t[2]) * (t[1] - t[2])))), 6) AS shift FROM c JOIN c1 USING (cluster_id)")
+@register(ONE + "SELECT round(sum(list_sum(list_transform(list_zip(c.f, c1.f), lambda t: (t[1] - t[2]) * (t[1] - t[2])))), 6) + 0.0 AS shift FROM c JOIN c1 USING (cluster_id)")
 def centroid_shift(spark, sf_dir):
     own = centers(spark, sf_dir)
     return update.shift(own, update.updated(labelled(spark, sf_dir), own)).select(r6("shift").alias("shift"))
@@ -406,19 +407,19 @@ def uniform_weight(spark, sf_dir):
     return reduce.uniform_weights(samples(spark, sf_dir))
 
 
-@register(ONE + "SELECT cluster_id, pos, round(v, 6) AS value FROM (SELECT cluster_id, unnest(f) AS v, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos FROM c1)")
+@register(ONE + "SELECT cluster_id, pos, round(v, 6) + 0.0 AS value FROM (SELECT cluster_id, unnest(f) AS v, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos FROM c1)")
 def lloyd_1(spark, sf_dir):
     own, _ = lloyd_steps(spark, sf_dir, 1)
     return own.select("cluster_id", F.posexplode("center").alias("pos", "v")).select("cluster_id", "pos", r6("v").alias("value"))
 
 
-@register(THREE + "SELECT cluster_id, count(*) AS n, round(sum(w * d2), 6) AS inertia FROM x3 GROUP BY cluster_id")
+@register(THREE + "SELECT cluster_id, count(*) AS n, round(sum(w * d2), 6) + 0.0 AS inertia FROM x3 GROUP BY cluster_id")
 def lloyd_3(spark, sf_dir):
     _, rows = lloyd_steps(spark, sf_dir, 3)
     return rows.groupBy(F.col("label").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("weight") * F.col("d2"))).alias("inertia"))
 
 
-@register(THREE + "SELECT cluster_id, pos, round(v, 6) AS value FROM (SELECT cluster_id, unnest(f) AS v, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos FROM c3)")
+@register(THREE + "SELECT cluster_id, pos, round(v, 6) + 0.0 AS value FROM (SELECT cluster_id, unnest(f) AS v, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos FROM c3)")
 def lloyd_loop_3(spark, sf_dir):
     """The estimator's own loop from explicit centres, three iterations."""
     start = [r["center"] for r in centers(spark, sf_dir).orderBy("cluster_id").collect()]
@@ -458,7 +459,7 @@ def same_clustering_renamed(spark, sf_dir):
 @register(
     """
     , pot AS (SELECT id, w * d2 AS pot FROM p WHERE cluster_id = 0)
-    SELECT p.cluster_id AS candidate, round(sum(least(p.w * p.d2, pot.pot)), 6) AS potential
+    SELECT p.cluster_id AS candidate, round(sum(least(p.w * p.d2, pot.pot)), 6) + 0.0 AS potential
     FROM p JOIN pot USING (id) WHERE p.cluster_id BETWEEN 1 AND 4 GROUP BY p.cluster_id
     """
 )
@@ -489,7 +490,7 @@ def kmpp_prefix_pick(spark, sf_dir):
         state.close()
 
 
-@register("SELECT id, cluster_id AS label, round(d2, 6) AS d2 FROM a ORDER BY a.d2 DESC, id LIMIT 5")
+@register("SELECT id, cluster_id AS label, round(d2, 6) + 0.0 AS d2 FROM a ORDER BY a.d2 DESC, id LIMIT 5")
 def relocate_farthest(spark, sf_dir):
     return update.farthest(labelled(spark, sf_dir), 5).select("id", "label", r6("d2").alias("d2"))
 
