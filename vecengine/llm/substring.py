@@ -7,7 +7,8 @@ a shard, the routed stretches become an FM-index over grams at a stride of one
 gram; a window is four symbols. Each stretch is streamed through backward
 search: windows whose interval holds an earlier occurrence are reported.
 Minimisers of a hot passage are salted over several shards by document; what is
-first in its salted shard is settled by a minimum over window prints.
+first in its salted shard is settled by a minimum over window prints. Copies of
+a whole text start earlier in every window, so only the first of them is routed.
 
 The order is (doc_id, start). Windows are judged on the input, and each word
 covered by a reported window goes.
@@ -31,6 +32,8 @@ from .fmindex import FMIndex
 from .shared import bit_map, in_bit_map, materialize, release
 from .words import Words, gram_hash, mix, text_chunks
 
+HASH_BYTES = 6
+WHOLE = -1
 GRAM = 5
 WINDOW = 20
 DEPTH = WINDOW // GRAM
@@ -78,24 +81,48 @@ def routed_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, doc long, run long")
 
 
-def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(shard, salted, doc, place, windows, hashes) of each run: its words' hashes as bytes."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(runs.select("doc").distinct()))
+def shortened(hashes: np.ndarray) -> bytes:
+    """Word hashes cut to HASH_BYTES each for the way to the shards."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def restored(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // HASH_BYTES, 8), np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, HASH_BYTES)
+    return mix(wide.reshape(-1).view(np.uint64))
+
+
+def whole_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc) of texts that a smaller doc_id has as well, and (doc) of the first of each text."""
+    prints = materialize(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("print")), "prints")
+    firsts = prints.groupBy("print").agg(F.min("doc").alias("first"))
+    copies = prints.join(firsts, "print").where("doc <> first").select("doc").distinct()
+    return copies, firsts.select(F.col("first").alias("doc")).distinct()
+
 
-    def holding(batches):
+def held_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents whose slot is in the bit map of ``ids``: a superset of those asked for."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(ids))
+
+    def run(batches):
         for batch in batches:
             yield in_bit_map(batch, wanted.value)
 
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
+def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(shard, salted, doc, place, windows, hashes) of each run: its words' hashes as bytes."""
     def cut(batches):
         for batch in batches:
             doc, shard, salted, place, windows, out = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
-                words = Words(data, np.array([0, len(data)])).hashes().tobytes()
+                words = shortened(Words(data, np.array([0, len(data)])).hashes())
                 listed = batch.column(2)[i].values
                 runs_, shards, salts = (listed.field(j).to_numpy() for j in range(3))
                 at, n = runs_ // 32, runs_ % 32
-                out += [words[8 * a : 8 * (a + k + WINDOW - 1)] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
+                out += [words[HASH_BYTES * a : HASH_BYTES * (a + k + WINDOW - 1)] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
                 doc.append(np.full(len(at), batch.column(0)[i].as_py()))
                 for x, y in ((shard, shards), (salted, salts), (place, at), (windows, n)):
                     x.append(y)
@@ -103,7 +130,7 @@ def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 columns = [np.concatenate(x) for x in (shard, salted, doc, place, windows)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(out, pa.binary())], ["shard", "salted", "doc", "place", "windows", "hashes"])
 
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc IS NOT NULL").mapInArrow(holding, "doc long, text string").dropDuplicates(["doc"])
+    texts = held_in(docs, runs.select("doc").distinct()).select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"])
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("run", "shard", "salted")).alias("runs"))
     return texts.join(lists, "doc").mapInArrow(cut, "shard long, salted long, doc long, place long, windows long, hashes binary")
 
@@ -159,8 +186,9 @@ def search_shard(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, salted
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, start, mask): bit i of mask says that the window at start + i also starts earlier."""
-    runs = materialize(routed_runs(docs), "runs")
+    """(doc, start, mask): bit i of mask says that the window at start + i also starts earlier; start WHOLE says so of all."""
+    copies, firsts = whole_copies(docs)
+    runs = materialize(routed_runs(held_in(docs, firsts)), "runs")
     often = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
     joined = runs.join(often, "anchor")
     load = often.agg(F.sum(F.col("n") * (WINDOW + 8)).alias("words")).first()["words"] or 0
@@ -173,7 +201,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         doc, place, windows, salted = (table.column(x).to_numpy() for x in ("doc", "place", "windows", "salted"))
-        words = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+        words = restored(b"".join(table.column("hashes").to_pylist()))
         return pa.table(dict(zip(("doc", "start", "mask", "print"), map(pa.array, search_shard(doc, place, windows, salted, words)), strict=True)))
 
     found = materialize(stretches(docs, routed).groupBy("shard").applyInArrow(run, "doc long, start long, mask long, print long"), "found")
@@ -181,7 +209,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     unsettled = found.where("mask = 0")
     firsts = unsettled.groupBy("print").agg(F.min(F.struct("doc", "start")).alias("first"))
     later = unsettled.join(firsts, "print").where(F.struct("doc", "start") > F.col("first"))
-    return found.where("mask <> 0").select("doc", "start", "mask").unionByName(later.select("doc", "start", F.lit(1).cast("long").alias("mask")))
+    one = F.lit(1).cast("long").alias("mask")
+    rows = found.where("mask <> 0").select("doc", "start", "mask").unionByName(later.select("doc", "start", one))
+    return rows.unionByName(copies.select("doc", F.lit(WHOLE).cast("long").alias("start"), one))
 
 
 def with_windows(docs: DataFrame) -> DataFrame:
@@ -195,6 +225,8 @@ def covered_words(windows, n_words: int) -> np.ndarray:
     edge = np.zeros(n_words + 1, np.int64)
     if windows is not None:
         start, mask = windows.field(0).to_numpy(), windows.field(1).to_numpy()
+        if (start == WHOLE).any():
+            return np.full(n_words, n_words >= WINDOW)
         for i in range(SPAN):
             at = start[(mask >> i) & 1 == 1] + i
             at = at[at + WINDOW <= n_words]
