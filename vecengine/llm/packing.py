@@ -30,6 +30,18 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _loaded: dict[str, "WordEncoder"] = {}
 
 
+class Learned(dict):
+    """A dictionary that works out what it is asked for the first time."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, key):
+        found = self[key] = self.work(key)
+        return found
+
+
 class WordEncoder:
     """Token ids of texts as little-endian uint32 bytes, one dictionary look-up a word.
 
@@ -53,8 +65,8 @@ class WordEncoder:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(printable)]
         self.visible = {b: 256 + i for i, b in enumerate(others)}
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known = Learned(self.word)
+        self.runs = Learned(self.run)
 
     @classmethod
     def load(cls, path: str) -> "WordEncoder":
@@ -62,33 +74,25 @@ class WordEncoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def learn(self, new: list[bytes]) -> None:
-        """Adds the ids of new words to ``known``."""
-        texts = [w.decode("utf-8", "replace") for w in new]
-        simple = [self.RUNS.findall(t.lower()) if self.SIMPLE.fullmatch(t) and "<|" not in t else None for t in texts]
-        runs = self.runs
-        if len(runs) > CACHE_WORDS:
-            runs.clear()
-        fresh = list({r for rs in simple if rs for r in rs} - runs.keys())
-        shown = [r if r.isascii() else r.encode().decode("latin-1").translate(self.visible) for r in fresh]
-        runs.update(zip(fresh, map(self.as_bytes, self.model.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
-        rest = [t for t, rs in zip(texts, simple, strict=True) if rs is None]
-        coded = iter(self.full.encode_batch_fast(rest, add_special_tokens=False))
-        for w, rs in zip(new, simple, strict=True):
-            self.known[w] = self.as_bytes(next(coded)) if rs is None else b"".join([runs[r] for r in rs])
+    def run(self, run: str) -> bytes:
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.visible)
+        return self.as_bytes(self.model.encode(shown, add_special_tokens=False))
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join([self.runs[r] for r in self.RUNS.findall(text.lower())])
+        return self.as_bytes(self.full.encode(text, add_special_tokens=False))
 
     @staticmethod
     def as_bytes(coded) -> bytes:
         return array.array("I", coded.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = set().union(*words) - self.known.keys()
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        for cache in (self.known, self.runs):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        return [b"".join(map(self.known.__getitem__, t.split())) for t in texts]
 
 
 class Packer:

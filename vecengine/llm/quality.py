@@ -105,8 +105,8 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n)),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * lines),
-        Rule("letters", 10 * no_letters > 3 * F.col("word_chars")),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > lines),
+        Rule("letters", 10 * no_letters > 4 * F.col("word_chars")),
     ]
 
 

@@ -82,6 +82,41 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_neardup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, s FROM (
+                SELECT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+                UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4
+            )
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * pairs.n >= 85 * (p.n + q.n - pairs.n)
+        ), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+    """,
+    "op8_substring": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS k
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)
+        ), later AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1
+        ), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+        each_word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+        left_over AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM each_word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN left_over USING (doc_id)
+    """,
     "op1_quality": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text,
@@ -109,8 +144,8 @@ ORACLE: dict[str, str] = {
                NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
                AND NOT (10 * n_symbols > n_words)
                AND NOT (word_chars < 2 * n_words OR word_chars > 14 * n_words)
-               AND NOT (10 * n_dup_lines > 3 * len(lines))
-               AND NOT (10 * (length(text) - length(regexp_replace(text, '[^\p{L}\s]', '', 'g'))) > 3 * word_chars) AS kept
+               AND NOT (2 * n_dup_lines > len(lines))
+               AND NOT (10 * (length(text) - length(regexp_replace(text, '[^\p{L}\s]', '', 'g'))) > 4 * word_chars) AS kept
         FROM base
     """,
     "op3_chat": r"""
