@@ -89,6 +89,20 @@ class Head:
         return np.where(self.sorted[at] == hashes, self.place[at], HEAD)
 
 
+def most_frequent(counts: DataFrame) -> Head:
+    """The words of the highest counts, at most HEAD of them; a histogram of counts sets the bound, so no more rows ever travel."""
+    step = F.floor(F.log("c") * 256)
+    found = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    cut, total = None, 0
+    for value, n in found:
+        total += n
+        if total > HEAD:
+            break
+        cut = value
+    rows = counts.where(step >= cut if cut is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return Head(rows["word"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
+
+
 def states(rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The state before each token: that of the token before it, START at a text's first, else NONE (the root)."""
     before = np.empty(len(rank), np.int64)
@@ -175,8 +189,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = materialize(token_counts(docs), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    head = Head(top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
+    head = most_frequent(counts)
     texts = counts.where(F.col("word") == int(END.astype(np.int64))).agg(F.sum("c")).first()[0] or 0
     automaton = Automaton(head, pair_counts(docs, head), total, distinct, texts)
     shared = spark.sparkContext.broadcast(automaton)
