@@ -73,7 +73,10 @@ def labelled_sample(labels: DataFrame, label_rows: int, seed: int) -> dict[str,
     """ids, kind (1 good, 2 toxic, 3 poor) and fit (0 for the quarter that sets thresholds), at most ``label_rows`` of them, sorted by id."""
     kind = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("toxic") == 1, 2).otherwise(3)
     usable = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
-    rows = usable.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "kind").limit(label_rows).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    share = min(1.0, 2 * label_rows / max(1, usable.count()))
+    order = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    chosen = usable.where(order <= int(share * (1 << 30)))
+    rows = chosen.select("doc_id", kind.alias("kind")).orderBy(order, "doc_id", "kind").limit(label_rows).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     ids = rows["doc_id"].to_numpy(np.int64)
     return {"ids": ids, "kind": rows["kind"].to_numpy(np.int64), "fit": mix(ids.view(np.uint64) + np.uint64(seed)) % np.uint64(4) != 0}
 
