@@ -128,14 +128,16 @@ def ordered_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
         sample.unpersist()
 
 
-def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
     """doc_id, the base columns, kept and failed_rule (null where kept or where the base failed).
 
-    The sample that orders the rules has at most ``sample_rows`` rows.
+    The sample that orders the rules is the first ``sample_rows`` rows, read from as few partitions as hold them.
     """
     rules = default_rules() if rules is None else rules
     base = base_columns(docs)
-    rules = ordered_rules(base.where(~F.col("base_failed")).limit(sample_rows), rules)
+    few = docs.select("doc_id", "text").where("text IS NOT NULL").take(sample_rows)
+    sample = base_columns(docs.sparkSession.createDataFrame(few, docs.select("doc_id", "text").schema))
+    rules = ordered_rules(sample.where(~F.col("base_failed")), rules)
     first = F.lit(None).cast("string")
     if rules:
         chain = F.when(F.col("base_failed"), F.lit(None).cast("string"))
