@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 600_000
+from .words import worker_cache
+
+CACHE_WORDS = 300_000
 POOL = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-_loaded: dict[str, "WordEncoder"] = {}
+_loaded: dict[str, "WordEncoder"] = worker_cache()
 
 
 class Learned(dict):

@@ -24,11 +24,13 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import worker_cache
+
 MARK = "▁"
 CACHE_CHUNKS = 400_000
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
 FAR = 1 << 60
-_loaded: dict[str, "PieceCoder"] = {}
+_loaded: dict[str, "PieceCoder"] = worker_cache()
 
 
 def _fields(data: bytes):

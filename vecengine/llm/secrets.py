@@ -24,6 +24,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .words import make_room
+
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -151,6 +153,7 @@ def scan_documents(docs: DataFrame, rate: float = 0.001, level: float = 0.001) -
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
+        make_room()
         for batch in batches:
             texts = batch.column(1)
             spans = [[{"kind": k, "begin": a, "end": b} for k, a, b in scan(texts[i].as_py(), rate, level)] for i in range(len(texts))]
@@ -173,6 +176,7 @@ def redact_documents(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with secrets in ``text`` replaced and ``n_chars`` counted anew where it exists."""
 
     def run(batches):
+        make_room()
         for batch in batches:
             i = batch.schema.get_field_index("text")
             column = batch.column(i)

@@ -65,11 +65,13 @@ def minimizer_runs(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[first], np.diff(np.append(first, len(starts))), value[chosen[first]]
 
 
-def routed_runs(docs: DataFrame) -> DataFrame:
-    """(anchor, doc, run): run packs the first window's place and the number of windows."""
+def routed_runs(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(anchor, doc, run) of documents in the bit map of ``ids``: run packs the first window's place and the number of windows."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(ids))
 
     def run(batches):
         for batch in batches:
+            batch = in_bit_map(batch, wanted.value)
             for row, data, offsets in text_chunks(batch):
                 words = Words(data, offsets)
                 at, count, anchor = minimizer_runs(words, words.hashes())
@@ -78,7 +80,7 @@ def routed_runs(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(row, len(offsets) - 1).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), ids, pa.array(place * 32 + count)], ["anchor", "doc", "run"])
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, doc long, run long")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc long, run long")
 
 
 def shortened(hashes: np.ndarray) -> bytes:
@@ -188,7 +190,7 @@ def search_shard(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, salted
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, start, mask): bit i of mask says that the window at start + i also starts earlier; start WHOLE says so of all."""
     copies, firsts = whole_copies(docs)
-    runs = materialize(routed_runs(held_in(docs, firsts)), "runs")
+    runs = materialize(routed_runs(docs, firsts), "runs")
     often = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
     joined = runs.join(often, "anchor")
     load = often.agg(F.sum(F.col("n") * (WINDOW + 8)).alias("words")).first()["words"] or 0

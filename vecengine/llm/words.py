@@ -20,6 +20,20 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives in a Python worker from task to task, until a task of another operator needs the room."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def make_room() -> None:
+    """Empties the workers' caches: Spark gives one worker to the tasks of many stages."""
+    for cache in _caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,6 +58,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", target: int = CHUNK_BYTES):
     """(first row, bytes, offsets) for runs of rows of about ``target`` bytes; null texts are empty."""
+    make_room()
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
     if col.null_count:
         col = pc.fill_null(col, b"")
