@@ -19,8 +19,8 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each class of near duplicates (80 % or more of their five-word shingles in common) stays."""
+    return neardup.drop_near_duplicates(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,18 @@ def test_near_duplicates(spark):
     assert kept.columns == docs.columns and kept.count() == sum(v[2] for v in found.values()) + 1
 
 
+def test_stage_drops_copies_from_eighty_percent(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(204)]
+    docs = [base, base[:100] + [f"x{i}" for i in range(16)] + base[116:]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    share = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert 0.80 <= share < 0.85
+    frame = documents(spark, [" ".join(w) for w in docs])
+    assert corpus_pipeline.keep_one_of_each(spark, frame, "").count() == neardup.drop_near_duplicates(frame, percent=80).count() == 1
+    assert neardup.near_duplicates(frame, percent=85).where("kept").count() == 2
+
+
 def test_blocks_of_a_group_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
     base = prose(200, 21)

@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, sketch
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, and all rows without a doc_id."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id")
     ones = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return ones.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
