@@ -338,6 +338,30 @@ def matmul_rows(spark, sf_dir):
     return out.select(F.col("id").alias("i"), F.posexplode("values").alias("j", "v")).select("i", "j", r6("v").alias("value"))
 
 
+WHOLE = "SELECT l.id AS i, y.cluster_id AS j, round({value}, 6) + 0.0 AS value FROM l JOIN (SELECT cluster_id, unnest(f) AS v, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos FROM c) y USING (pos) GROUP BY ALL"
+
+
+def whole_product(spark, sf_dir, **functions) -> DataFrame:
+    """All embeddings against the centres through the shuffle join."""
+    right = entries(centers(spark, sf_dir).select(F.col("cluster_id").alias("id"), F.col("center").alias("features")))
+    return linalg.matmul_long(entries(samples(spark, sf_dir)), right, **functions).select("i", "j", r6("value").alias("value"))
+
+
+@register(WHOLE.format(value="sum(l.v * y.v)"))
+def matmul_small_whole(spark, sf_dir):
+    return whole_product(spark, sf_dir)
+
+
+@register(WHOLE.format(value="sum(abs(l.v - y.v))"))
+def matmul_absdiff_whole(spark, sf_dir):
+    return whole_product(spark, sf_dir, multiply=lambda a, b: F.abs(a - b))
+
+
+@register(WHOLE.format(value="1 + exp(sum(l.v * y.v))"))
+def matmul_epilogue_whole(spark, sf_dir):
+    return whole_product(spark, sf_dir, finish=lambda v: F.exp(v) + 1)
+
+
 # Update step
 
 
