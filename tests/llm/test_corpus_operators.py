@@ -114,6 +114,37 @@ def test_scores(spark):
     assert scoring.score_documents(empty(spark)).count() == 0
 
 
+def test_every_seen_pair_has_an_arc(spark, monkeypatch):
+    most_frequent = scoring.most_frequent
+
+    def few(counts):
+        with monkeypatch.context() as m:
+            m.setattr(scoring, "HEAD", 600)
+            return most_frequent(counts)
+
+    monkeypatch.setattr(scoring, "most_frequent", few)
+    texts = {i: [*prose(150, i % 45).split(), None] for i in range(60)}
+    train = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for ws in train for w in ws)
+    pairs = collections.Counter(p for ws in train for p in zip(["<", *ws], ws))
+    shown, norm = collections.Counter(), sum(count.values()) + 0.1 * (len(count) + 1)
+    left, open_ = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
+    for (h, _), c in pairs.items():
+        shown[h] += c
+    for (h, w), c in pairs.items():
+        left[h] -= (c - 0.5) / shown[h]
+        open_[h] -= (count[w] + 0.1) / norm
+    assert len(count) > 650
+    frame = documents(spark, [" ".join(ws[:-1]) for ws in texts.values()])
+    found = by_id(scoring.score_documents(frame), "score")
+    for i, ws in texts.items():
+        score = 0.0
+        for h, w in zip(["<", *ws], ws):
+            root = (count[w] + 0.1) / norm
+            score += math.log10((pairs[h, w] - 0.5) / shown[h] if (h, w) in pairs else left[h] / open_[h] * root)
+        assert found[i][0] == pytest.approx(score)
+
+
 def test_states_are_distributions():
     rng = np.random.default_rng(3)
     counts = np.sort(rng.integers(5, 50, 40))[::-1].astype(np.int64)

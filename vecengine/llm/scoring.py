@@ -1,18 +1,20 @@
 """Language-model scores by a weighted backoff automaton.
 
 Counts come from the training texts (crc32 of the id not divisible by 10). The
-automaton has a root, a start state and one state for each of the most frequent
-words; a state holds arcs for the word pairs seen in training (absolute
-discounting) and one failure arc to the root, whose weight keeps the state's
-probabilities at a sum of one. The root has an arc for every training word and
-one for unknown words. A text is read from left to right, the state following
-the word before, and log-probabilities add up; all texts of a batch advance
-together in arrays.
-
-The root's arcs grow with the corpus and are never broadcast: arcs of the HEAD
-most frequent words travel to the tasks (a fixed bound), and a text's other
-words are joined with the table of all counts. A root arc's share of the score
-does not depend on the state, so it can be added afterwards.
+automaton has a root, a start state and one state for each training word; a
+state holds arcs for all word pairs seen in training (absolute discounting) and
+one failure arc to the root, whose weight keeps the state's probabilities at a
+sum of one. The root has an arc for every training word and one for unknown
+words. A text is read from left to right, the state following the word before,
+and log-probabilities add up.
+
+States and arcs grow with the corpus and are never broadcast whole. Root arcs
+and failure arcs of the HEAD most frequent words and the arcs between the STATES
+most frequent ones travel to the tasks (fixed bounds), where all texts of a batch
+advance together in arrays. A text's other words and pairs are joined with one
+table of weights: a word brings its root and failure arcs, a pair what its arc
+adds to the failure arc and root arc that were counted for it, so all shares of
+a score can be added in any order.
 
 Defined cases: null and empty texts are their end alone; a null doc_id counts
 as the id "" and is held out; repeated rows are scored each for itself; an
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialize
+from .shared import materialize, release
 from .words import Words, mix, text_chunks
 
 HEAD = 1 << 16
@@ -38,6 +40,8 @@ DISCOUNT = 0.5
 START = STATES
 NONE = STATES + 1
 END = np.uint64(0x5851F42D4C957F2D)
+BEGIN = np.uint64(0x2545F4914F6CDD1D)
+TURN = 23
 PRIOR = 0.1
 
 
@@ -74,11 +78,11 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Head:
-    """The most frequent words by hash, with their counts; the first STATES of them have states."""
+    """The most frequent words by hash, with their counts; the first STATES of them have rows in the matrix of arcs."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
-        self.sorted, self.place = words[order], order
+        self.hashes, self.sorted, self.place = words, words[order], order
         self.counts = counts
 
     def rank(self, hashes: np.ndarray) -> np.ndarray:
@@ -89,8 +93,8 @@ class Head:
         return np.where(self.sorted[at] == hashes, self.place[at], HEAD)
 
 
-def most_frequent(counts: DataFrame) -> Head:
-    """The words of the highest counts, at most HEAD of them; a histogram of counts sets the bound, so no more rows ever travel."""
+def most_frequent(counts: DataFrame) -> tuple[Head, DataFrame]:
+    """The words of the highest counts, at most HEAD of them, and their rows; a histogram of counts sets the bound, so no more rows ever travel."""
     step = F.floor(F.log("c") * 256)
     found = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     cut, total = None, 0
@@ -99,8 +103,9 @@ def most_frequent(counts: DataFrame) -> Head:
         if total > HEAD:
             break
         cut = value
-    rows = counts.where(step >= cut if cut is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return Head(rows["word"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
+    chosen = counts.where(step >= cut if cut is not None else F.lit(False))
+    rows = chosen.toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return Head(rows["word"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)), chosen
 
 
 def states(rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -112,43 +117,84 @@ def states(rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return before
 
 
-def pair_counts(docs: DataFrame, head: Head) -> np.ndarray:
-    """counts[state, word] of training tokens for words with states; a matrix of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-    width = STATES
+def histories(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The word before each token, BEGIN at a text's first."""
+    before = np.empty(len(hashes), np.uint64)
+    before[1:] = hashes[:-1]
+    before[begin[:-1]] = BEGIN
+    return before
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each pair; the same as ``pair_key``."""
+    return before ^ (word << np.uint64(TURN) | word >> np.uint64(64 - TURN))
+
+
+def pair_key():
+    turned = F.shiftleft("word", TURN).bitwiseOR(F.shiftrightunsigned("word", 64 - TURN))
+    return F.col("before").bitwiseXOR(turned)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(before, word, c) over all pairs of training tokens."""
 
     def run(batches):
-        total = np.zeros((STATES + 1) * width, np.int64)
         for batch in batches:
             batch = batch.filter(pa.array(is_training(batch.column(0).to_pylist())))
             for _, data, offsets in text_chunks(batch):
-                hashes, begin = tokens(data, offsets)
-                rank = shared.value.rank(hashes)
-                before = states(rank, begin)
-                hit = (before <= START) & (rank < width)
-                total += np.bincount(before[hit] * width + rank[hit], minlength=len(total))
-        rows = total.reshape(STATES + 1, width)
-        used = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["state", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for state, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(row.as_py(), np.int64)
-                sums[state] = sums[state] + values if state in sums else values
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["state", "counts"])
-
-    schema = "state long, counts binary"
-    out = np.zeros((STATES + 1, width), np.int64)
-    for row in docs.select("doc_id", "text").mapInArrow(run, schema).repartition("state").mapInArrow(add, schema).toLocalIterator():
-        out[row["state"]] = np.frombuffer(row["counts"], np.int64)
+                words, begin = tokens(data, offsets)
+                before = histories(words, begin)
+                _, first, counts = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(counts.astype(np.int64))], ["before", "word", "c"])
+
+    partial = docs.select("doc_id", "text").mapInArrow(run, "before long, word long, c long")
+    return partial.groupBy("before", "word").agg(F.sum("c").alias("c"))
+
+
+def with_head(rows: DataFrame, head: DataFrame, full: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` and ``full``; frequent keys meet the broadcast ``head`` of ``full``, so none is dealt to one task."""
+    often = F.broadcast(head)
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(full, key))
+
+
+def pair_chances(pairs: DataFrame, counts: DataFrame, head: DataFrame, norm: float) -> DataFrame:
+    """(before, word, c, chance): each pair with the root's probability of its word."""
+    rows = with_head(pairs, head.withColumnRenamed("c", "n"), counts.withColumnRenamed("c", "n"), "word")
+    return rows.select("before", "word", "c", ((F.col("n") + PRIOR) / F.lit(float(norm))).alias("chance"))
+
+
+def failures(chances: DataFrame) -> DataFrame:
+    """(before, shown, fail): how often each state was entered and the weight of its failure arc."""
+    left = F.greatest(1 - F.sum(F.col("c") - DISCOUNT) / F.sum("c"), F.lit(1e-12))
+    open_ = F.greatest(1 - F.sum("chance"), F.lit(1e-12))
+    return chances.groupBy("before").agg(F.sum("c").alias("shown"), F.log10(left / open_).alias("fail"))
+
+
+def pair_gains(chances: DataFrame, states_: DataFrame, head: DataFrame) -> DataFrame:
+    """(key, c, gain): what each seen pair's arc adds to the failure arc and the root arc."""
+    frequent = states_.join(F.broadcast(head.select(F.col("word").alias("before"))), "before", "left_semi")
+    start = states_.where(F.col("before") == int(BEGIN.astype(np.int64)))
+    rows = with_head(chances, frequent.unionByName(start), states_, "before")
+    gain = F.log10((F.col("c") - DISCOUNT) / F.col("shown")) - F.col("fail") - F.log10("chance")
+    return rows.select(pair_key().alias("key"), F.lit(None).cast("long").alias("c"), gain.alias("gain"))
+
+
+def frequent_pairs(pairs: DataFrame, head: Head) -> np.ndarray:
+    """counts[state, word] of the words that have rows in the matrix of fixed size."""
+    spark = pairs.sparkSession
+    top = head.hashes[:STATES].view(np.int64).tolist()
+    names = {w: i for i, w in enumerate(top)}
+    words = F.broadcast(spark.createDataFrame([(w,) for w in top], "word long"))
+    befores = F.broadcast(spark.createDataFrame([(w,) for w in [*top, int(BEGIN.astype(np.int64))]], "before long"))
+    out = np.zeros((STATES + 1, STATES), np.int64)
+    found = pairs.join(words, "word", "left_semi").join(befores, "before", "left_semi").toPandas()
+    if len(found):
+        out[[names.get(x, START) for x in found["before"]], [names[x] for x in found["word"]]] = found["c"]
     return out
 
 
 class Automaton:
-    """Arc and failure weights (log10) of all states over the words that have states, and the root's arcs for the head."""
+    """Arc and failure weights (log10) of the matrix's states over its words, and the root's arcs and failure arcs for the head."""
 
     def __init__(self, head: Head, pairs: np.ndarray, tokens_seen: int, distinct: int, texts: int):
         self.head = head
@@ -172,6 +218,16 @@ class Automaton:
         self.fail[:-1][used] = np.log10(np.maximum(left[used], 1e-12) / np.maximum(open_[used], 1e-12))
         self.arcs = np.full((STATES + 2, STATES + 1), np.nan)
         self.arcs[:-1, :-1] = np.where(seen, arcs, np.nan)
+        self.beyond = np.zeros(len(head.counts))
+
+    def fail_by(self, before: np.ndarray, fail: np.ndarray) -> None:
+        """Takes the failure weights of whole states, whose arcs reach beyond the matrix."""
+        rank = self.head.rank(before)
+        known = rank < len(self.head.counts)
+        self.beyond[rank[known]] = fail[known]
+        n = min(STATES, len(self.head.counts))
+        self.fail[:n], self.beyond[:n] = self.beyond[:n], 0
+        self.fail[START] = fail[before == BEGIN][0] if (before == BEGIN).any() else 0
 
     @property
     def norm(self) -> float:
@@ -189,9 +245,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = materialize(token_counts(docs), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = most_frequent(counts)
+    head, head_rows = most_frequent(counts)
     texts = counts.where(F.col("word") == int(END.astype(np.int64))).agg(F.sum("c")).first()[0] or 0
-    automaton = Automaton(head, pair_counts(docs, head), total, distinct, texts)
+    pairs = materialize(pair_counts(docs), "pair-counts")
+    automaton = Automaton(head, frequent_pairs(pairs, head), total, distinct, texts)
+    chances = materialize(pair_chances(pairs, counts, head_rows, automaton.norm), "pair-chances")
+    release(spark, pairs)
+    entered = materialize(failures(chances), "states")
+    gains = materialize(pair_gains(chances, entered, head_rows), "pair-gains")
+    release(spark, chances)
+    wide = entered.join(F.broadcast(head_rows.select(F.col("word").alias("before"))), "before", "left_semi")
+    wide = wide.unionByName(entered.where(F.col("before") == int(BEGIN.astype(np.int64)))).toPandas()
+    automaton.fail_by(wide["before"].to_numpy(np.int64).view(np.uint64), wide["fail"].to_numpy(np.float64))
+    words = counts.join(entered, F.col("word") == F.col("before"), "left").select(F.col("word").alias("key"), "c", F.coalesce("fail", F.lit(0.0)).alias("gain"))
+    weights = words.unionByName(gains)
     shared = spark.sparkContext.broadcast(automaton)
 
     def run(batches):
@@ -205,7 +272,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 hashes, begin = tokens(data, offsets)
                 text = np.repeat(np.arange(n), np.diff(begin))
                 rank = automaton.head.rank(hashes)
-                value = automaton.read(rank, states(rank, begin))
+                before = states(rank, begin)
+                rank_before = np.append(HEAD, rank[:-1])
+                beyond = np.append(automaton.beyond, np.zeros(HEAD + 1 - len(automaton.beyond)))
+                value = automaton.read(rank, before) + np.where(before == NONE, beyond[rank_before], 0.0)
                 inner = rank < HEAD
                 root = np.append(automaton.root, np.zeros(HEAD + 1 - len(automaton.root)))[rank]
                 score = np.bincount(text, weights=value, minlength=n)
@@ -213,43 +283,52 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 known = np.bincount(text, weights=inner, minlength=n).astype(np.int64)
                 key = row_id + np.arange(n)
                 row_id += n
-                outside = np.flatnonzero(~inner)
-                order = outside[np.lexsort((hashes[outside], text[outside]))]
+                outside, apart = np.flatnonzero(~inner), np.flatnonzero((before > START) | (rank >= STATES))
+                asked = np.concatenate([hashes[outside], pair_keys(histories(hashes, begin), hashes)[apart]])
+                owner = np.concatenate([text[outside], text[apart]])
+                order = np.lexsort((asked, owner))
                 new = np.ones(len(order), bool)
-                new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+                new[1:] = (asked[order[1:]] != asked[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
                 first = np.flatnonzero(new)
                 often = np.diff(np.append(first, len(order)))
-                tail_text = text[order[first]]
+                is_word = order[first] < len(outside)
                 m = len(first)
-                summary = mix(key.astype(np.uint64) + np.uint64(1))
+                summary = pa.StructArray.from_arrays(
+                    [
+                        pa.array(ids[row : row + n], pa.int64()),
+                        pa.array(~train[row : row + n]),
+                        pa.array(np.diff(begin)),
+                        pa.array(known),
+                        pa.array(base),
+                        pa.array(score),
+                    ],
+                    ["doc_id", "held_out", "tokens", "known", "base", "score"],
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([summary, hashes[order[first]]]).view(np.int64)),
-                        pa.array(np.concatenate([key, key[tail_text]])),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), often])),
-                        pa.array([*ids[row : row + n], *[None] * m], pa.int64()),
-                        pa.array(np.concatenate([~train[row : row + n], np.zeros(m, bool)])),
-                        pa.array(np.concatenate([np.diff(begin), np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([known, np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([base, np.zeros(m)])),
-                        pa.array(np.concatenate([score, np.zeros(m)])),
+                        pa.array(np.concatenate([mix(key.astype(np.uint64) + np.uint64(1)), asked[order[first]]]).view(np.int64)),
+                        pa.array(np.concatenate([key, key[owner[order[first]]]])),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), np.where(is_word, often, -often)])),
+                        pa.concat_arrays([summary, pa.nulls(m, summary.type)]),
                     ],
-                    ["word", "row", "often", "doc_id", "held_out", "tokens", "known", "base", "score"],
+                    ["key", "row", "often", "summary"],
                 )
 
-    schema = "word long, row long, often long, doc_id long, held_out boolean, tokens long, known long, base double, score double"
+    # A row's often is the number of a word's occurrences, or less than zero for a pair's.
+    schema = "key long, row long, often long, summary struct<doc_id:long,held_out:boolean,tokens:long,known:long,base:double,score:double>"
     rows = docs.select("doc_id", "text").mapInArrow(run, schema)
-    found = rows.join(counts, "word", "left")
-    chance = F.log10((F.coalesce("c", F.lit(0)) + PRIOR) / F.lit(float(automaton.norm))) * F.col("often")
+    found = rows.join(weights, "key", "left").select("row", "often", "c", "gain", "summary.*")
+    chance = F.when(F.col("often") > 0, F.log10((F.coalesce("c", F.lit(0)) + PRIOR) / F.lit(float(automaton.norm))) * F.col("often")).otherwise(0.0)
+    gained = F.coalesce(F.col("gain") * F.abs("often"), F.lit(0.0))
     return (
         found.groupBy("row")
         .agg(
             F.max("doc_id").alias("doc_id"),
             F.max("held_out").alias("held_out"),
             F.sum("tokens").alias("n_tokens"),
-            F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("often")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + chance).alias("base_score"),
-            F.sum(F.col("score") + chance).alias("score"),
+            F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.col("often")).otherwise(0)).alias("n_known"),
+            F.sum(F.coalesce("base", F.lit(0.0)) + chance).alias("base_score"),
+            F.sum(F.coalesce("score", F.lit(0.0)) + chance + gained).alias("score"),
         )
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
     )
