@@ -193,6 +193,25 @@ def test_random_tokens_are_told_from_ordinary_ones():
     assert sum(bool(secrets.scan(f"x {t} y")) for t in names) < 4
 
 
+@pytest.mark.parametrize(
+    "alphabet, size, least",
+    [(secrets.UPPER + "234567", 32, 97), (secrets.DIGITS + secrets.LOWER, 24, 95), (secrets.DIGITS + "ABCDEF", 20, 95), (secrets.DIGITS, 80, 90)],
+)
+def test_secrets_of_each_encoding_are_found_in_long_texts(alphabet, size, least):
+    rng = random.Random(size)
+    names = [rng.choice("_-/").join(rng.choice(["user", "name", "table", "index", "2024", "value"]) for _ in range(6)) for _ in range(300)]
+    ordinary = [x for n in names for x in (n, n.replace("_", ""))]
+    tokens = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(100)]
+
+    def caught(t, before):
+        return any(k in ("hex", "random") and a <= len(before) and b >= len(before) + size for k, a, b in secrets.scan(f"{before}{t} y"))
+
+    assert sum(caught(t, "x ") for t in tokens) >= least
+    long = " ".join(ordinary) + " "
+    assert sum(caught(t, long) for t in tokens) >= least
+    assert len([k for k, _, _ in secrets.scan(long) if k == "random"]) <= 1
+
+
 def test_secret_digests(spark):
     docs = awkward(spark).unionByName(documents(spark, [f"secret: {SECRET} {SECRET[3:]}1"], 100))
     rows = {r["doc_id"]: r for r in secrets.span_digests(secrets.scan_documents(docs)).collect()}
