@@ -92,6 +92,19 @@ def test_piece_spans_cover_the_source(spark):
         assert spans[-1] == (len(source), len(source)) and r["ids"][-1] == 2
 
 
+def test_digests_come_from_encodings_with_spans(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["", *ODD, *("".join(rng.choice(" ab▁\nthe éß😀日<0x0A>\t") for _ in range(rng.randrange(80))) for _ in range(200))]
+    coder = pieces.PieceCoder.load(PIECE_BPE)
+    for text in (t for t in texts if t is not None):
+        ids, begins, ends, decoded = coder.encode_arrays(text)
+        assert (ids.tolist(), list(zip(begins.tolist(), ends.tolist(), strict=True))) == coder.encode(text) and decoded == coder.decode(ids.tolist())
+    encode_documents, seen = pieces.encode_documents, []
+    monkeypatch.setattr(pieces, "encode_documents", lambda *a: seen.append(encode_documents(*a)) or seen[-1])
+    assert pieces.digest_documents(documents(spark, texts), PIECE_BPE).count() == len(texts)
+    assert seen and {"begins", "ends"} <= set(seen[0].columns)
+
+
 def test_compiled_character_map(tmp_path):
     model = sentencepiece_model_pb2.ModelProto()
     with open(PIECE_BPE, "rb") as f:

@@ -16,18 +16,19 @@ ignored; a text is coded whole, however long.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .words import worker_cache
 
 MARK = "▁"
 CACHE_CHUNKS = 400_000
+BLOCK_ROWS = 512
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
 FAR = 1 << 60
 _loaded: dict[str, "PieceCoder"] = worker_cache()
@@ -133,7 +134,7 @@ class PieceCoder:
         alone = "\n" if "\n" not in inner else ""
         self.chunks = re.compile(f"{alone}|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.plain = not self.map.units and not self.flags["squeeze"] and self.flags["escape"]
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, tuple[bytes, bytes, str]] = {}
 
     @classmethod
     def load(cls, path: str) -> "PieceCoder":
@@ -283,25 +284,41 @@ class PieceCoder:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
-    def remember(self, chunk: str) -> tuple[str, int, str]:
-        ids = [i for i, _ in self.units(chunk)]
+    def remember(self, chunk: str) -> tuple[bytes, bytes, str]:
+        """A chunk's ids and their sizes in bytes, as 4-byte integers, and what the ids decode to."""
+        units = self.units(chunk)
+        ids = [i for i, _ in units]
         text = self.decode([self.end, *ids]) if not chunk.startswith(MARK) else " " + self.decode(ids)
-        got = self.known[chunk] = (" ".join(map(str, ids)), len(ids), text)
+        got = self.known[chunk] = (np.array(ids, np.int32).tobytes(), np.array([n for _, n in units], np.int32).tobytes(), text)
         return got
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids with the end id, and digests of the ids and of the decoded text."""
+    def sources(self, text: str) -> np.ndarray:
+        """What ``normalize`` records, for a model that only writes marks for spaces."""
+        source = np.frombuffer(text.encode(), np.uint8)
+        at = np.arange(len(source))
+        first = np.maximum.accumulate(np.where((source & 0xC0) != 0x80, at, 0)) if len(source) else at
+        where = np.repeat(first, np.where(source == 0x20, len(MARK.encode()), 1))
+        prefix = len(MARK.encode()) if self.flags["prefix"] and len(source) else 0
+        return np.concatenate([np.zeros(prefix, np.int64), where, [len(source)]])
+
+    def encode_arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """Ids, begins and ends of their spans of source bytes, and the decoded text, from remembered chunks."""
+        if not self.plain:
+            ids, spans = self.encode(text)
+            begins, ends = np.array(spans, np.int32).reshape(-1, 2).T
+            return np.array(ids, np.int32), begins, ends, self.decode(ids)
         known = self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
         got = [known.get(c) or self.remember(c) for c in self.cut(self.normal(text))]
-        ids = [x[0] for x in got]
-        ids.append(str(self.end))
+        ids = np.frombuffer(b"".join([x[0] for x in got]), np.int32)
+        edge = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.frombuffer(b"".join([x[1] for x in got]), np.int32), out=edge[1:])
+        edge = self.sources(text)[edge].astype(np.int32)
         decoded = "".join([x[2] for x in got])
         if self.flags["prefix"] and decoded.startswith(" "):
             decoded = decoded[1:]
-        sha = hashlib.sha256
-        return sum([x[1] for x in got]) + 1, sha(" ".join(ids).encode()).hexdigest(), sha(decoded.encode()).hexdigest()
+        return ids, edge[:-1], edge[1:], decoded
 
 
 def encode_documents(docs: DataFrame, model_path: str, add_end: bool = True) -> DataFrame:
@@ -310,37 +327,27 @@ def encode_documents(docs: DataFrame, model_path: str, add_end: bool = True) ->
     def run(batches):
         coder = PieceCoder.load(model_path)
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                ids, spans = coder.encode(text)
-                decoded = coder.decode(ids)
-                if add_end:
-                    size = len(text.encode())
-                    ids, spans = [*ids, coder.end], [*spans, (size, size)]
-                rows.append((ids, [a for a, _ in spans], [b for _, b in spans], decoded))
-            ids, begins, ends, decoded = zip(*rows, strict=True) if rows else ((), (), (), ())
-            whole = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, whole), pa.array(begins, whole), pa.array(ends, whole), pa.array(decoded, pa.string())],
-                ["doc_id", "ids", "begins", "ends", "decoded"],
-            )
+            for start in range(0, len(batch), BLOCK_ROWS) if len(batch) else [0]:
+                part = batch.slice(start, BLOCK_ROWS)
+                columns, decoded = ([], [], []), []
+                for text in part.column(1).to_pylist():
+                    text = text or ""
+                    *own, back = coder.encode_arrays(text)
+                    if add_end:
+                        size = len(text.encode())
+                        own = [np.append(x, np.int32(y)) for x, y in zip(own, (coder.end, size, size), strict=True)]
+                    for column, x in zip(columns, own, strict=True):
+                        column.append(x)
+                    decoded.append(back)
+                offsets = pa.array(np.cumsum([0, *map(len, columns[0])]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *c]), pa.int32())) for c in columns]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text's encoding with an end id."""
-
-    def run(batches):
-        coder = PieceCoder.load(model_path)
-        for batch in batches:
-            texts = batch.column(1)
-            got = [coder.digest(texts[i].as_py() or "") for i in range(len(texts))]
-            n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = encode_documents(docs, model_path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
