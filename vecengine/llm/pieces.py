@@ -16,6 +16,7 @@ ignored; a text is coded whole, however long.
 
 from __future__ import annotations
 
+import array
 import heapq
 import re
 import struct
@@ -28,6 +29,7 @@ from .words import worker_cache
 
 MARK = "▁"
 CACHE_CHUNKS = 400_000
+CACHE_LETTERS = 64
 BLOCK_ROWS = 512
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
 FAR = 1 << 60
@@ -125,16 +127,19 @@ class PieceCoder:
         if any(self.kinds[i] in (USER, UNUSED) for i in merged):
             raise ValueError("user-defined and unused pieces are not supported")
         self.ids = {self.pieces[i]: i for i in merged}
-        self.rank = {self.pieces[i]: r for r, i in enumerate(sorted(merged, key=lambda i: (-scored[i][1], i)))}
+        levels = {x: r for r, x in enumerate(sorted({scored[i][1] for i in merged}, reverse=True))}
+        self.rank = {self.pieces[i]: levels[scored[i][1]] for i in merged}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.end = self.pieces.index("</s>")
+        self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int32)
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
         inner = "".join(p for p in self.ids if len(p) > 1)
         self.whole_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "\n" if "\n" not in inner else ""
         self.chunks = re.compile(f"{alone}|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.plain = not self.map.units and not self.flags["squeeze"] and self.flags["escape"]
-        self.known: dict[str, tuple[bytes, bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
 
     @classmethod
     def load(cls, path: str) -> "PieceCoder":
@@ -284,22 +289,29 @@ class PieceCoder:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
-    def remember(self, chunk: str) -> tuple[bytes, bytes, str]:
-        """A chunk's ids and their sizes in bytes, as 4-byte integers, and what the ids decode to."""
-        units = self.units(chunk)
-        ids = [i for i, _ in units]
-        text = self.decode([self.end, *ids]) if not chunk.startswith(MARK) else " " + self.decode(ids)
-        got = self.known[chunk] = (np.array(ids, np.int32).tobytes(), np.array([n for _, n in units], np.int32).tobytes(), text)
+    def remember(self, chunk: str) -> tuple[bytes, str]:
+        """A chunk's ids as 4-byte integers and what they decode to; short chunks are kept for the next time."""
+        ids = [self.ids.get(s) for s in self.split(chunk)]
+        if None in ids:
+            ids = [i for i, _ in self.units(chunk)]
+            text = self.decode([self.end, *ids]) if not chunk.startswith(MARK) else " " + self.decode(ids)
+        else:
+            text = "".join([self.shown[i] for i in ids])
+        got = (array.array("i", ids).tobytes(), text)
+        if len(chunk) <= CACHE_LETTERS:
+            self.known[chunk] = got
         return got
 
     def sources(self, text: str) -> np.ndarray:
         """What ``normalize`` records, for a model that only writes marks for spaces."""
         source = np.frombuffer(text.encode(), np.uint8)
-        at = np.arange(len(source))
-        first = np.maximum.accumulate(np.where((source & 0xC0) != 0x80, at, 0)) if len(source) else at
-        where = np.repeat(first, np.where(source == 0x20, len(MARK.encode()), 1))
+        where = np.arange(len(source), dtype=np.int32)
+        if not text.isascii():
+            where = np.maximum.accumulate(np.where((source & 0xC0) != 0x80, where, 0))
+        wide = np.ones(len(source), np.int8)
+        wide[source == 0x20] = len(MARK.encode())
         prefix = len(MARK.encode()) if self.flags["prefix"] and len(source) else 0
-        return np.concatenate([np.zeros(prefix, np.int64), where, [len(source)]])
+        return np.concatenate([np.zeros(prefix, np.int32), np.repeat(where, wide), np.array([len(source)], np.int32)])
 
     def encode_arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         """Ids, begins and ends of their spans of source bytes, and the decoded text, from remembered chunks."""
@@ -313,9 +325,9 @@ class PieceCoder:
         got = [known.get(c) or self.remember(c) for c in self.cut(self.normal(text))]
         ids = np.frombuffer(b"".join([x[0] for x in got]), np.int32)
         edge = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.frombuffer(b"".join([x[1] for x in got]), np.int32), out=edge[1:])
-        edge = self.sources(text)[edge].astype(np.int32)
-        decoded = "".join([x[2] for x in got])
+        np.cumsum(self.sizes[ids], out=edge[1:])
+        edge = self.sources(text)[edge]
+        decoded = "".join([x[1] for x in got])
         if self.flags["prefix"] and decoded.startswith(" "):
             decoded = decoded[1:]
         return ids, edge[:-1], edge[1:], decoded
