@@ -1,30 +1,40 @@
 """Language-model scores by a weighted backoff automaton.
 
 Counts come from the training texts (crc32 of the id not divisible by 10). The
-automaton has a root, a start state and one state for each training word; a
-state holds arcs for all word pairs seen in training (absolute discounting) and
-one failure arc to the root, whose weight keeps the state's probabilities at a
-sum of one. The root has an arc for every training word and one for unknown
-words. A text is read from left to right, the state following the word before,
-and log-probabilities add up.
-
-States and arcs grow with the corpus and are never broadcast whole. Root arcs
-and failure arcs of the HEAD most frequent words and the arcs between the STATES
-most frequent ones travel to the tasks (fixed bounds), where all texts of a batch
-advance together in arrays. A text's other words and pairs are joined with one
-table of weights: a word brings its root and failure arcs, a pair what its arc
-adds to the failure arc and root arc that were counted for it, so all shares of
-a score can be added in any order.
+automaton has a root, a start state and a state for every training word. A
+state holds an arc for every word pair seen in training and one failure arc to
+the root; the root has an arc for every training word and one for unknown ones.
+Pairs are smoothed with a Dirichlet prior of weight ``strength`` on the root's
+probabilities p, which gives for a state h and a word w
+
+    arc      log10((c(h, w) + strength * p(w)) / (c(h) + strength))   if seen
+    failure  log10(strength / (c(h) + strength)), then the root's log10(p(w))
+
+so that each state's weights add up to one. A text is read once from left to
+right, the state being the word before, and the weights add up.
+
+The automaton grows with the corpus and is never broadcast. Every step of every
+text goes once through one shuffle, in sorted and delta-coded blocks: to a
+bucket that holds all steps of its pairs (and, for a word beyond the head, all
+steps into that word). There the training steps give the counts, the arcs are
+weighed, and each text gets back the sum of its steps. What travels to all
+tasks is of fixed size: counts of the HEAD most frequent words, and of the pairs
+that make up more than one in HOT_SHARE training steps, which are weighed where
+the text is read, so that no bucket holds a frequent pair. A word beyond the
+head has at most one in HEAD of the training steps.
 
 Defined cases: null and empty texts are their end alone; a null doc_id counts
 as the id "" and is held out; repeated rows are scored each for itself; an
 empty table gives no rows; without training texts every token is unknown with
-probability one; texts are read whole; other columns are ignored.
+probability one; texts are read whole; other columns are ignored. Rows of one
+scan have to come in the same order when a lost task is run again, as those of
+files do.
 """
 
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +45,16 @@ from .shared import materialize, release
 from .words import Words, mix, text_chunks
 
 HEAD = 1 << 16
-STATES = 512
-DISCOUNT = 0.5
-START = STATES
-NONE = STATES + 1
+HOT_SHARE = 1 << 16
+HOT_LEAST = 64
+START = HEAD
+BLOCK_TOKENS = 3 << 18
+BLOCK_ROWS = 50_000
+BUCKET_STEPS = 1 << 20
+STRENGTH = 30.0
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = np.uint64(0x2545F4914F6CDD1D)
-TURN = 23
+OUTSIDE = np.uint64(1 << 63)
 PRIOR = 0.1
 
 
@@ -78,23 +91,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Head:
-    """The most frequent words by hash, with their counts; the first STATES of them have rows in the matrix of arcs."""
+    """The most frequent words by hash, with their counts."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
-        self.hashes, self.sorted, self.place = words, words[order], order
-        self.counts = counts
+        self.sorted, self.place, self.counts = words[order], order, counts
 
     def rank(self, hashes: np.ndarray) -> np.ndarray:
-        """Rank of each word by frequency, or HEAD where it is not among them."""
+        """Rank of each word by frequency, or HEAD + 1 where it is not among them."""
         if not len(self.sorted):
-            return np.full(len(hashes), HEAD)
+            return np.full(len(hashes), HEAD + 1)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.place[at], HEAD)
+        return np.where(self.sorted[at] == hashes, self.place[at], HEAD + 1)
 
 
-def most_frequent(counts: DataFrame) -> tuple[Head, DataFrame]:
-    """The words of the highest counts, at most HEAD of them, and their rows; a histogram of counts sets the bound, so no more rows ever travel."""
+def most_frequent(counts: DataFrame) -> Head:
+    """The words of the highest counts, at most HEAD of them; a histogram of counts sets the bound, so no more rows ever travel."""
     step = F.floor(F.log("c") * 256)
     found = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     cut, total = None, 0
@@ -103,232 +115,263 @@ def most_frequent(counts: DataFrame) -> tuple[Head, DataFrame]:
         if total > HEAD:
             break
         cut = value
-    chosen = counts.where(step >= cut if cut is not None else F.lit(False))
-    rows = chosen.toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return Head(rows["word"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)), chosen
-
-
-def states(rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The state before each token: that of the token before it, START at a text's first, else NONE (the root)."""
-    before = np.empty(len(rank), np.int64)
-    before[1:] = np.minimum(rank[:-1], NONE)
-    before[before == STATES] = NONE
-    before[begin[:-1]] = START
-    return before
-
-
-def histories(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The word before each token, BEGIN at a text's first."""
-    before = np.empty(len(hashes), np.uint64)
-    before[1:] = hashes[:-1]
-    before[begin[:-1]] = BEGIN
-    return before
-
-
-def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each pair; the same as ``pair_key``."""
-    return before ^ (word << np.uint64(TURN) | word >> np.uint64(64 - TURN))
-
-
-def pair_key():
-    turned = F.shiftleft("word", TURN).bitwiseOR(F.shiftrightunsigned("word", 64 - TURN))
-    return F.col("before").bitwiseXOR(turned)
+    rows = counts.where(step >= cut if cut is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return Head(rows["word"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
+
+
+class Block(NamedTuple):
+    """Consecutive texts, training ones first: ids, how many train, tokens of each text, and all tokens in order."""
+
+    ids: list
+    train: int
+    lengths: np.ndarray
+    hashes: np.ndarray
+
+    def states(self) -> np.ndarray:
+        """The word before each token, BEGIN at a text's first."""
+        before = np.empty(len(self.hashes), np.uint64)
+        before[1:] = self.hashes[:-1]
+        before[np.cumsum(self.lengths) - self.lengths] = BEGIN
+        return before
+
+    def ranks(self, head: Head) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the word before each token (START at a text's first) and of the token."""
+        rank = head.rank(self.hashes)
+        before = np.empty(len(rank), np.int64)
+        before[1:] = rank[:-1]
+        before[np.cumsum(self.lengths) - self.lengths] = START
+        return before, rank
+
+
+def token_blocks(batches, training: bool = False):
+    """Blocks of about BLOCK_TOKENS tokens; of training texts only where asked for."""
+    parts: list[tuple] = []
+
+    def joined() -> Block:
+        ids = [i for p in parts for i in p[0]]
+        train, lengths, hashes = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3))
+        order = np.argsort(~train, kind="stable")
+        begin, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        moved = np.arange(len(hashes)) + np.repeat(begin - (np.cumsum(size) - size), size)
+        parts.clear()
+        return Block([ids[i] for i in order], int(train.sum()), size, hashes[moved])
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, 8192):
+            batch = whole.slice(start, 8192)
+            train = is_training(batch.column(0).to_pylist())
+            if training:
+                batch, train = batch.filter(pa.array(train)), train[train]
+            ids = batch.column(0).to_pylist()
+            for row, data, offsets in text_chunks(batch):
+                hashes, begin = tokens(data, offsets)
+                n = len(begin) - 1
+                parts.append((ids[row : row + n], train[row : row + n], np.diff(begin), hashes))
+                if sum(len(p[3]) for p in parts) >= BLOCK_TOKENS or sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
+                    yield joined()
+    if parts:
+        yield joined()
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(before, word, c) over all pairs of training tokens."""
+def hot_pairs(docs: DataFrame, head: Head, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (state's rank, word's rank), rising, and counts of the pairs of at least ``least`` training steps."""
+    spark = docs.sparkSession
+    often = int((head.counts >= least).sum())
+    shared = spark.sparkContext.broadcast(head)
 
     def run(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(is_training(batch.column(0).to_pylist())))
-            for _, data, offsets in text_chunks(batch):
-                words, begin = tokens(data, offsets)
-                before = histories(words, begin)
-                _, first, counts = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(counts.astype(np.int64))], ["before", "word", "c"])
+        for block in token_blocks(batches, training=True):
+            before, rank = block.ranks(shared.value)
+            both = (rank < often) & ((before < often) | (before == START))
+            keys, counts = np.unique(before[both] << 16 | rank[both], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "c"])
 
-    partial = docs.select("doc_id", "text").mapInArrow(run, "before long, word long, c long")
-    return partial.groupBy("before", "word").agg(F.sum("c").alias("c"))
+    if not often:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = docs.select("doc_id", "text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    rows = found.where(F.col("c") >= least).toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
 
 
-def with_head(rows: DataFrame, head: DataFrame, full: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` and ``full``; frequent keys meet the broadcast ``head`` of ``full``, so none is dealt to one task."""
-    often = F.broadcast(head)
-    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(full, key))
+def planes(values: np.ndarray) -> bytes:
+    """Integers as bytes, the lowest bytes of all first: equal high bytes lie together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def pair_chances(pairs: DataFrame, counts: DataFrame, head: DataFrame, norm: float) -> DataFrame:
-    """(before, word, c, chance): each pair with the root's probability of its word."""
-    rows = with_head(pairs, head.withColumnRenamed("c", "n"), counts.withColumnRenamed("c", "n"), "word")
-    return rows.select("before", "word", "c", ((F.col("n") + PRIOR) / F.lit(float(norm))).alias("chance"))
-
-
-def failures(chances: DataFrame) -> DataFrame:
-    """(before, shown, fail): how often each state was entered and the weight of its failure arc."""
-    left = F.greatest(1 - F.sum(F.col("c") - DISCOUNT) / F.sum("c"), F.lit(1e-12))
-    open_ = F.greatest(1 - F.sum("chance"), F.lit(1e-12))
-    return chances.groupBy("before").agg(F.sum("c").alias("shown"), F.log10(left / open_).alias("fail"))
-
-
-def pair_gains(chances: DataFrame, states_: DataFrame, head: DataFrame) -> DataFrame:
-    """(key, c, gain): what each seen pair's arc adds to the failure arc and the root arc."""
-    frequent = states_.join(F.broadcast(head.select(F.col("word").alias("before"))), "before", "left_semi")
-    start = states_.where(F.col("before") == int(BEGIN.astype(np.int64)))
-    rows = with_head(chances, frequent.unionByName(start), states_, "before")
-    gain = F.log10((F.col("c") - DISCOUNT) / F.col("shown")) - F.col("fail") - F.log10("chance")
-    return rows.select(pair_key().alias("key"), F.lit(None).cast("long").alias("c"), gain.alias("gain"))
-
-
-def frequent_pairs(pairs: DataFrame, head: Head) -> np.ndarray:
-    """counts[state, word] of the words that have rows in the matrix of fixed size."""
-    spark = pairs.sparkSession
-    top = head.hashes[:STATES].view(np.int64).tolist()
-    names = {w: i for i, w in enumerate(top)}
-    words = F.broadcast(spark.createDataFrame([(w,) for w in top], "word long"))
-    befores = F.broadcast(spark.createDataFrame([(w,) for w in [*top, int(BEGIN.astype(np.int64))]], "before long"))
-    out = np.zeros((STATES + 1, STATES), np.int64)
-    found = pairs.join(words, "word", "left_semi").join(befores, "before", "left_semi").toPandas()
-    if len(found):
-        out[[names.get(x, START) for x in found["before"]], [names[x] for x in found["word"]]] = found["c"]
-    return out
+def unplaned(data: bytes, kind) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).reshape(-1).view(kind)
 
 
 class Automaton:
-    """Arc and failure weights (log10) of the matrix's states over its words, and the root's arcs and failure arcs for the head."""
-
-    def __init__(self, head: Head, pairs: np.ndarray, tokens_seen: int, distinct: int, texts: int):
-        self.head = head
-        self.total, self.distinct = tokens_seen, distinct
-        self.unknown = np.log10(PRIOR / self.norm)
-        self.root = np.log10((head.counts + PRIOR) / self.norm)
-        shown = np.zeros(STATES + 1)
-        n = min(STATES, len(head.counts))
-        shown[:n] = head.counts[:n]
-        shown[START] = texts
-        seen = pairs > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(seen, (pairs - DISCOUNT) / shown[:, None], 0.0)
-            arcs = np.log10(share)
-        chance = np.zeros(STATES)
-        chance[:n] = 10 ** self.root[:n]
-        left = 1 - share.sum(axis=1)
-        open_ = 1 - np.where(seen, chance[None, :], 0).sum(axis=1)
-        self.fail = np.zeros(STATES + 2)
-        used = seen.any(axis=1)
-        self.fail[:-1][used] = np.log10(np.maximum(left[used], 1e-12) / np.maximum(open_[used], 1e-12))
-        self.arcs = np.full((STATES + 2, STATES + 1), np.nan)
-        self.arcs[:-1, :-1] = np.where(seen, arcs, np.nan)
-        self.beyond = np.zeros(len(head.counts))
-
-    def fail_by(self, before: np.ndarray, fail: np.ndarray) -> None:
-        """Takes the failure weights of whole states, whose arcs reach beyond the matrix."""
-        rank = self.head.rank(before)
-        known = rank < len(self.head.counts)
-        self.beyond[rank[known]] = fail[known]
-        n = min(STATES, len(self.head.counts))
-        self.fail[:n], self.beyond[:n] = self.beyond[:n], 0
-        self.fail[START] = fail[before == BEGIN][0] if (before == BEGIN).any() else 0
-
-    @property
-    def norm(self) -> float:
-        return self.total + PRIOR * (self.distinct + 1)
-
-    def read(self, rank: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Log-probability of each token after its state, without the root's arc where a word outside the head falls back to it."""
-        arc = self.arcs[before, np.minimum(rank, STATES)]
-        root = np.append(self.root, np.zeros(HEAD + 1 - len(self.root)))[rank]
-        return np.where(np.isnan(arc), self.fail[before] + root, arc)
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
+    """Weights (log10) of the root and the states; counts are given, or are those of the head."""
+
+    def __init__(self, head: Head, total: int, distinct: int, texts: int, hot: tuple[np.ndarray, np.ndarray], strength: float):
+        self.head, self.hot, self.strength = head, hot, strength
+        self.norm = total + PRIOR * (distinct + 1)
+        self.root = np.log10(self.chance(head.counts))
+        self.entry = np.append(self.enter(head.counts), np.zeros(START + 1 - len(head.counts)))
+        self.entry[START] = self.enter(np.array([texts]))[0]
+        near, far = int(head.counts.sum()), total - int(head.counts.sum())
+        self.buckets = (max(1, -(-near // BUCKET_STEPS)), max(1, -(-near // (4 * BUCKET_STEPS))), max(1, -(-far * 2 // BUCKET_STEPS)))
+
+    def chance(self, c: np.ndarray) -> np.ndarray:
+        return (c + PRIOR) / self.norm
+
+    def enter(self, c: np.ndarray) -> np.ndarray:
+        """What every weight that leaves a state of count c has in common."""
+        return -np.log10(c + self.strength)
+
+    def leave(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The rest of a step's weight: its arc's where the pair was seen, else the failure arc's and the root's."""
+        return np.where(pair > 0, np.log10(pair + self.strength * self.chance(word)), np.log10(self.strength) + np.log10(self.chance(word)))
+
+
+def sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(rows, weights=values, minlength=n)
+
+
+def steps(block: Block, a: Automaton):
+    """What a block's texts gather here (n_known, base, score), and their other steps as (bucket, major, minor, row)."""
+    n = len(block.ids)
+    row = np.repeat(np.arange(n), block.lengths)
+    before, rank = block.ranks(a.head)
+    near = rank < HEAD
+    known = sums(row, near, n)
+    base = sums(row[near], a.root[rank[near]], n)
+    enters = before <= START
+    score = sums(row[enters], a.entry[before[enters]], n)
+    keys, counts = a.hot
+    here = np.zeros(len(rank), bool)
+    if len(keys):
+        asked = before << 16 | rank
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        here = near & enters & (keys[at] == asked)
+        score += sums(row[here], a.leave(counts[at[here]], a.head.counts[rank[here]]), n)
+    kind = np.where(near, np.where(enters, 0, 1), 2)
+    state = block.states()
+    code = np.where(enters, before.astype(np.uint64), state | OUTSIDE)
+    major = np.where(kind == 0, (before << 16 | rank).astype(np.uint64), np.where(kind == 1, state, block.hashes))
+    minor = np.where(kind == 0, np.uint64(0), np.where(kind == 1, rank.astype(np.uint64), code))
+    count = np.array(a.buckets, np.uint64)
+    bucket = (mix(major) % count[kind]).astype(np.int64) + np.concatenate([[0], np.cumsum(a.buckets)])[kind]
+    rest = np.flatnonzero(~here)
+    order = rest[np.argsort(major[rest])]
+    order = order[np.argsort(bucket[order] * 2 + (minor[order] >= OUTSIDE), kind="stable")]
+    return (known, base, score), (bucket[order], major[order], minor[order], row[order])
+
+
+STEPS = "bucket long, block long, train int, major binary, minor binary, row binary, summary binary"
+SUMS = "block long, row binary, known binary, base binary, score binary, summary binary"
+
+
+def summary_bytes(block: Block, found: tuple) -> bytes:
+    null = np.array([i is None for i in block.ids])
+    held = np.arange(len(block.ids)) >= block.train
+    ids = np.array([0 if i is None else i for i in block.ids], np.int64)
+    return np.stack([ids, null, held, block.lengths, found[0].astype(np.int64), found[1].view(np.int64), found[2].view(np.int64)]).astype(np.int64).tobytes()
+
+
+def send(docs: DataFrame, automaton: Automaton) -> DataFrame:
+    """The steps of all texts, one row for each block and bucket; a block's own sums go along with one of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches):
+        a = shared.value
+        name = TaskContext.get().partitionId() << 24
+        for block in token_blocks(batches):
+            found, (bucket, major, minor, row) = steps(block, a)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            narrow = row.astype(np.uint16)
+            own = [name % sum(a.buckets)]
+            columns = [
+                pa.array(np.concatenate([bucket[cut[:-1]], own]).astype(np.int64)),
+                pa.array(np.full(len(spans) + 1, name)),
+                pa.array(np.full(len(spans) + 1, block.train, np.int32)),
+                pa.array([*(planes(np.diff(major[i:j], prepend=np.uint64(0))) for i, j in spans), None], pa.binary()),
+                pa.array([*(planes(minor[i:j]) for i, j in spans), None], pa.binary()),
+                pa.array([*(planes(narrow[i:j]) for i, j in spans), None], pa.binary()),
+                pa.array([*(None for _ in spans), summary_bytes(block, found)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in STEPS.split(", ")])
+            name += 1
+
+    return docs.select("doc_id", "text").mapInArrow(run, STEPS)
+
+
+def counted(keys: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """For each key, how many training steps have it."""
+    _, inverse = np.unique(keys, return_inverse=True)
+    return np.bincount(inverse[train], minlength=int(inverse.max(initial=-1)) + 1)[inverse]
+
+
+def weigh_bucket(table: pa.Table, a: Automaton) -> pa.Table:
+    """The sums of each block's texts over the steps in this bucket."""
+    passed = table.filter(pa.compute.is_valid(table.column("summary")))
+    table = table.filter(pa.compute.is_null(table.column("summary")))
+    columns: list[list] = [[] for _ in range(6)]
+    if table.num_rows:
+        bucket = table.column("bucket")[0].as_py()
+        kind = int(np.searchsorted(np.cumsum(a.buckets), bucket, side="right"))
+        major, minor, row = ([unplaned(x.as_py(), t) for x in table.column(c)] for c, t in (("major", np.uint64), ("minor", np.uint64), ("row", np.uint16)))
+        size = np.array([len(x) for x in row])
+        major, minor, row = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in major]), np.concatenate(minor), np.concatenate(row).astype(np.int64)
+        block = np.repeat(np.arange(len(size)), size)
+        train = row < table.column("train").to_numpy()[block]
+        pair = counted(major if kind == 0 else mix(major) ^ mix(minor + np.uint64(1)), train)
+        if kind == 2:
+            word = counted(major, train)
+            score = a.leave(pair, word) + a.enter(word)
+        else:
+            word = a.head.counts[(major & np.uint64(HEAD - 1) if kind == 0 else minor).astype(np.int64)]
+            score = a.leave(pair, word)
+        owner, inverse = np.unique(block << 16 | row, return_inverse=True)
+        n = len(owner)
+        score = sums(inverse, score, n)
+        known, base = (sums(inverse, word > 0, n), sums(inverse, np.log10(a.chance(word)), n)) if kind == 2 else (np.zeros(0), np.zeros(0))
+        cut = np.searchsorted(owner, np.arange(len(size) + 1) << 16)
+        narrow = (owner & 0xFFFF).astype(np.uint16)
+        for name, i, j in zip(table.column("block").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own = (name, narrow[i:j].tobytes(), known[i:j].astype(np.int32).tobytes(), base[i:j].tobytes(), score[i:j].tobytes(), None)
+            for column, x in zip(columns, own, strict=True):
+                column.append(x)
+    for name, data in zip(passed.column("block").to_pylist(), passed.column("summary").to_pylist(), strict=True):
+        for column, x in zip(columns, (name, None, None, None, None, data), strict=True):
+            column.append(x)
+    kinds = [pa.int64(), *[pa.binary()] * 5]
+    return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(SUMS.split(", "), columns, kinds, strict=True)})
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def add_up(table: pa.Table, total: int) -> pa.Table:
+    """The rows of one block."""
+    whole = next(x.as_py() for x in table.column("summary") if x.is_valid)
+    ids, null, held, lengths, known, base, score = np.frombuffer(whole, np.int64).reshape(7, -1).copy()
+    base, score = base.view(np.float64), score.view(np.float64)
+    for r, k, b, s, other in zip(*(table.column(c) for c in ("row", "known", "base", "score", "summary")), strict=True):
+        if not other.is_valid:
+            row = np.frombuffer(r.as_py(), np.uint16)
+            score[row] += np.frombuffer(s.as_py())
+            if len(b.as_py()):
+                base[row] += np.frombuffer(b.as_py())
+                known[row] += np.frombuffer(k.as_py(), np.int32)
+    columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(score)]
+    return pa.table(dict(zip([x.split()[0] for x in SCORES.split(", ")], columns, strict=True)))
+
+
+def score_documents(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     counts = materialize(token_counts(docs), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head, head_rows = most_frequent(counts)
     texts = counts.where(F.col("word") == int(END.astype(np.int64))).agg(F.sum("c")).first()[0] or 0
-    pairs = materialize(pair_counts(docs), "pair-counts")
-    automaton = Automaton(head, frequent_pairs(pairs, head), total, distinct, texts)
-    chances = materialize(pair_chances(pairs, counts, head_rows, automaton.norm), "pair-chances")
-    release(spark, pairs)
-    entered = materialize(failures(chances), "states")
-    gains = materialize(pair_gains(chances, entered, head_rows), "pair-gains")
-    release(spark, chances)
-    wide = entered.join(F.broadcast(head_rows.select(F.col("word").alias("before"))), "before", "left_semi")
-    wide = wide.unionByName(entered.where(F.col("before") == int(BEGIN.astype(np.int64)))).toPandas()
-    automaton.fail_by(wide["before"].to_numpy(np.int64).view(np.uint64), wide["fail"].to_numpy(np.float64))
-    words = counts.join(entered, F.col("word") == F.col("before"), "left").select(F.col("word").alias("key"), "c", F.coalesce("fail", F.lit(0.0)).alias("gain"))
-    weights = words.unionByName(gains)
+    head = most_frequent(counts)
+    hot = hot_pairs(docs, head, max(HOT_LEAST, -(-total // HOT_SHARE)))
+    release(spark, counts)
+    automaton = Automaton(head, int(total), int(distinct), int(texts), hot, strength)
     shared = spark.sparkContext.broadcast(automaton)
-
-    def run(batches):
-        automaton = shared.value
-        row_id = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            train = is_training(ids)
-            for row, data, offsets in text_chunks(batch):
-                n = len(offsets) - 1
-                hashes, begin = tokens(data, offsets)
-                text = np.repeat(np.arange(n), np.diff(begin))
-                rank = automaton.head.rank(hashes)
-                before = states(rank, begin)
-                rank_before = np.append(HEAD, rank[:-1])
-                beyond = np.append(automaton.beyond, np.zeros(HEAD + 1 - len(automaton.beyond)))
-                value = automaton.read(rank, before) + np.where(before == NONE, beyond[rank_before], 0.0)
-                inner = rank < HEAD
-                root = np.append(automaton.root, np.zeros(HEAD + 1 - len(automaton.root)))[rank]
-                score = np.bincount(text, weights=value, minlength=n)
-                base = np.bincount(text, weights=root, minlength=n)
-                known = np.bincount(text, weights=inner, minlength=n).astype(np.int64)
-                key = row_id + np.arange(n)
-                row_id += n
-                outside, apart = np.flatnonzero(~inner), np.flatnonzero((before > START) | (rank >= STATES))
-                asked = np.concatenate([hashes[outside], pair_keys(histories(hashes, begin), hashes)[apart]])
-                owner = np.concatenate([text[outside], text[apart]])
-                order = np.lexsort((asked, owner))
-                new = np.ones(len(order), bool)
-                new[1:] = (asked[order[1:]] != asked[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-                first = np.flatnonzero(new)
-                often = np.diff(np.append(first, len(order)))
-                is_word = order[first] < len(outside)
-                m = len(first)
-                summary = pa.StructArray.from_arrays(
-                    [
-                        pa.array(ids[row : row + n], pa.int64()),
-                        pa.array(~train[row : row + n]),
-                        pa.array(np.diff(begin)),
-                        pa.array(known),
-                        pa.array(base),
-                        pa.array(score),
-                    ],
-                    ["doc_id", "held_out", "tokens", "known", "base", "score"],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([mix(key.astype(np.uint64) + np.uint64(1)), asked[order[first]]]).view(np.int64)),
-                        pa.array(np.concatenate([key, key[owner[order[first]]]])),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), np.where(is_word, often, -often)])),
-                        pa.concat_arrays([summary, pa.nulls(m, summary.type)]),
-                    ],
-                    ["key", "row", "often", "summary"],
-                )
-
-    # A row's often is the number of a word's occurrences, or less than zero for a pair's.
-    schema = "key long, row long, often long, summary struct<doc_id:long,held_out:boolean,tokens:long,known:long,base:double,score:double>"
-    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
-    found = rows.join(weights, "key", "left").select("row", "often", "c", "gain", "summary.*")
-    chance = F.when(F.col("often") > 0, F.log10((F.coalesce("c", F.lit(0)) + PRIOR) / F.lit(float(automaton.norm))) * F.col("often")).otherwise(0.0)
-    gained = F.coalesce(F.col("gain") * F.abs("often"), F.lit(0.0))
-    return (
-        found.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("tokens").alias("n_tokens"),
-            F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.col("often")).otherwise(0)).alias("n_known"),
-            F.sum(F.coalesce("base", F.lit(0.0)) + chance).alias("base_score"),
-            F.sum(F.coalesce("score", F.lit(0.0)) + chance + gained).alias("score"),
-        )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    found = send(docs, automaton).groupBy("bucket").applyInArrow(lambda t: weigh_bucket(t, shared.value), SUMS)
+    return found.groupBy("block").applyInArrow(lambda t: add_up(t, int(total)), SCORES)
