@@ -51,7 +51,7 @@ START = HEAD
 BLOCK_TOKENS = 3 << 18
 BLOCK_ROWS = 50_000
 BUCKET_STEPS = 1 << 20
-STRENGTH = 30.0
+STRENGTH = 200.0
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = np.uint64(0x2545F4914F6CDD1D)
 OUTSIDE = np.uint64(1 << 63)
