@@ -193,7 +193,7 @@ def test_secret_spans():
     assert [k for k, _, _ in found] == ["assign", "access", "hex", "random"]
     assert text[found[0][1] : found[0][2]] == f'token = "{SECRET}' and text[found[3][1] : found[3][2]] == SECRET[::-1]
     assert secrets.redact(text).count("[secret]") == 4 and "password=short" in secrets.redact(text)
-    for clean in (None, "", prose(500, 9), "aaaaaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz0123456789", "2024-01-02-2024-01-03-2024"):
+    for clean in (None, "", prose(500, 9), "gggggggggggggggggggggggg1", "abcdefghijklmnopqrstuvwxyz0123456789", "2024-01-02-2024-01-03-2024"):
         assert secrets.scan(clean) == [] and secrets.redact(clean) == clean
 
 
@@ -225,6 +225,43 @@ def test_secrets_of_each_encoding_are_found_in_long_texts(alphabet, size, least)
     assert len([k for k, _, _ in secrets.scan(long) if k == "random"]) <= 1
 
 
+def test_long_ordinary_tokens_are_no_secrets():
+    rng = random.Random(8)
+    words = ["river", "stone", "paper", "house", "green", "letter", "music", "2024", "10"]
+    for size in (100, 2000, 4000):
+        token = ""
+        while len(token) < size:
+            token += rng.choice(words)
+        assert secrets.secret_p(token, 0.01) == 1.0 and secrets.scan(f"x {token} y") == []
+
+
+def test_letters_alone_are_found():
+    rng = random.Random(9)
+    for alphabet, size in ((secrets.LOWER, 60), (secrets.UPPER + secrets.LOWER, 40)):
+        tokens = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(100)]
+        assert sum(bool(secrets.scan(f"x {t} y")) for t in tokens) >= 90
+
+
+def test_battery_and_likelihood_combine():
+    rng = random.Random(10)
+    letters = secrets.DIGITS + secrets.UPPER + secrets.LOWER
+    token = "".join(rng.choice(letters) for _ in range(40))
+    symbols = [letters.index(c) for c in token]
+    tests = sorted((secrets.uniformity(symbols, 62), secrets.runs(symbols, 62), secrets.serial(symbols)))
+    assert secrets.battery_p(token) == pytest.approx(min(1, 3 * tests[0], 1.5 * tests[1], tests[2]))
+    poor = "A0z" * 14
+    assert secrets.battery_p(poor) < 1e-3
+    assert secrets.secret_p(poor, 0.01) == pytest.approx(min(1, secrets.ordinary_p(poor) * 0.01 / secrets.battery_p(poor)))
+    assert secrets.secret_p(token, 0.01) < 1e-6
+
+
+def test_spans_apart():
+    rng = random.Random(11)
+    for _ in range(200):
+        spans, taken = ([(a, a + rng.randrange(1, 9)) for a in sorted(rng.randrange(100) for _ in range(8))] for _ in range(2))
+        assert secrets.apart(spans, taken) == [(a, b) for a, b in spans if all(b <= x or a >= y for x, y in taken)]
+
+
 def test_secret_digests(spark):
     docs = awkward(spark).unionByName(documents(spark, [f"secret: {SECRET} {SECRET[3:]}1"], 100))
     rows = {r["doc_id"]: r for r in secrets.span_digests(secrets.scan_documents(docs)).collect()}

@@ -5,15 +5,17 @@ token characters is a candidate of kind random. Its encoding is inferred (the
 smallest known alphabet that holds it), and within that alphabet three tests
 ask whether its symbols could be independent uniform draws: chi-squared
 uniformity, a runs test about the middle of the alphabet, and lag-1 serial
-correlation. A candidate that any of them rejects is ordinary.
-For the others the likelihood of the token under a model of ordinary text,
-divided by its likelihood as uniform draws from the inferred alphabet, gives a
-p-value: under the model that ratio is below x with a probability of at most x
-(Markov), times the number of alphabets tried. A Benjamini-Hochberg step-up over
-the candidates of the document, weighted by length, bounds the rate of false
-discoveries. In the model classes change at 5 % of the places, letters follow a
-table of pairs, and digits favour repeats, steps of one, and 0 to 2; digits alone
-are told apart slowly, so that some 40 of them are needed.
+correlation. Simes' rule combines their p-values to that of the battery.
+
+The likelihood of the token as ordinary text, divided by its likelihood as
+uniform draws from the inferred alphabet, bounds the chance that ordinary text
+looks so random (Markov; times the number of alphabets tried). What the battery
+doubts counts less: where its p-value is below ``level``, the bound grows by the
+ratio of the two. A Benjamini-Hochberg step-up over the candidates of the
+document, weighted by length, bounds the rate of false discoveries. In ordinary
+text classes change at 5 % of the places, letters have their shares in English
+and vowels seldom follow vowels, and digits favour repeats, steps of one, and 0
+to 2; digits alone are told apart slowly, so that some 40 of them are needed.
 
 Defined cases: null and empty texts have no spans; spans are counted in code
 points, end exclusive; repeated rows are scanned each for itself; an empty
@@ -24,7 +26,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -95,16 +99,10 @@ def serial(symbols: list[int]) -> float:
     return min(1.0, 2 * normal_tail(abs(r + 1 / n) * math.sqrt(n)))
 
 
-#: Bits that a letter costs after another in ordinary text, one hexadecimal digit each, in rows by the letter before.
-PAIR_BITS = (
-    "75458656586343859343666857 35673aa738b38839a3574aac6a 385838934d45892994644bad6a 3875276728a56738c447477a5b "
-    "475356686a8453768234766668 3869338b3ab49b38c3644c897c 378829533ba47549c3564a8c6b 278829a73b96773995654b8b5a "
-    "464546599a745246953485a8a7 2a9928a74889a827a87a39aa8a 3888279529658547b6475a7b5a 378527893b737937e955579d4a "
-    "246928993bb85734c8585a9b6b 48433638486785499843679a68 6655766769644245c354455779 388839844b948834d3555aab7c "
-    "56999899799678888897089999 376528683a666537a544578b5b 474737833b6566448842496b6c 386928932bb67839c444587a58 "
-    "5555465859644385b33498a898 3999199a2cb89a49c8797bcb7c 277727843a768438b5578a676a 47493695299768527873578569 "
-    "36553678598444359535586968 27882886398577489887588953 "
-).split()
+#: Shares of the letters a to z in English, in thousandths.
+LETTER_SHARES = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+VOWELS = "aeiouy"
+VOWEL_AFTER_VOWEL, VOWEL_AFTER_CONSONANT = 0.15, 0.55
 CHANGE_RATE = 0.05
 
 
@@ -120,8 +118,17 @@ def _shares(weights: list[float]) -> list[float]:
 @lru_cache(maxsize=1)
 def step_logs() -> dict[tuple[str, str], float]:
     """Log-probability of each symbol after each other one in ordinary text; an empty one stands before the first."""
-    after = {a: _shares([2.0 ** -int(x, 16) for x in row]) for a, row in zip(LOWER, PAIR_BITS, strict=True)}
-    mean = _shares([sum(math.exp(row[i]) for row in after.values()) for i in range(26)])
+    share = dict(zip(LOWER, LETTER_SHARES, strict=True))
+    half = {v: sum(w for x, w in share.items() if (x in VOWELS) == v) for v in (True, False)}
+
+    def letters(before: str | None) -> list[float]:
+        if before is None:
+            return _shares(list(share.values()))
+        rate = VOWEL_AFTER_VOWEL if before in VOWELS else VOWEL_AFTER_CONSONANT
+        return _shares([w / half[x in VOWELS] * (rate if x in VOWELS else 1 - rate) for x, w in share.items()])
+
+    after = {a: letters(a) for a in LOWER}
+    mean = letters(None)
     out = {}
     for a in ["", *ANY]:
         own = char_class(a) if a else -1
@@ -129,8 +136,8 @@ def step_logs() -> dict[tuple[str, str], float]:
         for b in ANY:
             new = char_class(b)
             move = math.log(1 / 4 if not a else 1 - CHANGE_RATE if new == own else CHANGE_RATE / 3)
-            letters = after[a.lower()] if own in (1, 2) else mean
-            inner = digits[int(b)] if new == 0 else letters[LOWER.index(b.lower())] if new in (1, 2) else math.log(1 / 4)
+            row = after[a.lower()] if own in (1, 2) else mean
+            inner = digits[int(b)] if new == 0 else row[LOWER.index(b.lower())] if new in (1, 2) else math.log(1 / 4)
             out[a, b] = move + inner
     return out
 
@@ -148,29 +155,46 @@ def ordinary_p(token: str) -> float:
     return math.exp(min(0.0, ratio + math.log(len(ALPHABETS) + 1)))
 
 
-def looks_random(token: str, level: float) -> bool:
-    """True unless a test of the battery rejects independent uniform symbols at ``level``."""
+def battery_p(token: str) -> float:
+    """The p-values of the three tests in the token's alphabet, combined by Simes' rule."""
     alphabet = alphabet_of(token)
     place = {c: i for i, c in enumerate(alphabet)}
     symbols = [place[c] for c in token]
-    return min(uniformity(symbols, len(alphabet)), runs(symbols, len(alphabet)), serial(symbols)) >= level / 3
+    found = sorted((uniformity(symbols, len(alphabet)), runs(symbols, len(alphabet)), serial(symbols)))
+    return min(1.0, min(3 * p / i for i, p in enumerate(found, 1)))
+
+
+def secret_p(token: str, level: float, worth: float = 1.0) -> float:
+    """The bound of ``ordinary_p``, raised where the battery doubts uniform symbols; what is above ``worth`` anyway is not tested."""
+    p = ordinary_p(token)
+    return p if p > worth else min(1.0, p * max(1.0, level / max(battery_p(token), 1e-300)))
 
 
 def discoveries(tokens: list[str], rate: float, level: float) -> list[bool]:
-    """Which tokens are secrets: weighted step-up at ``rate`` among those that pass the battery at ``level``."""
+    """Which tokens are secrets: step-up at ``rate`` over their p-values, weighted by length."""
     if not tokens:
         return []
     total = sum(map(len, tokens))
     m = len(tokens)
-    scaled = [ordinary_p(t) / (len(t) * m / total) if looks_random(t, level) else math.inf for t in tokens]
+    weights = [len(t) * m / total for t in tokens]
+    scaled = [secret_p(t, level, rate * w) / w for t, w in zip(tokens, weights, strict=True)]
     cut = 0.0
     for i, p in enumerate(sorted(scaled), 1):
         if p <= rate * i / m:
             cut = p
-    return [p <= cut and p < math.inf for p in scaled]
+    return [p <= cut for p in scaled] if cut else [p == 0 for p in scaled]
+
+
+def apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of ``taken``."""
+    taken = sorted(taken)
+    starts = [a for a, _ in taken]
+    ends = list(accumulate((b for _, b in taken), max))
+    before = [bisect_left(starts, b) for _, b in spans]
+    return [(a, b) for (a, b), i in zip(spans, before, strict=True) if not i or ends[i - 1] <= a]
 
 
-def scan(text: str | None, rate: float = 0.001, level: float = 0.001) -> list[tuple[str, int, int]]:
+def scan(text: str | None, rate: float = 0.001, level: float = 0.01) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret, by start and then kind."""
     if not text:
         return []
@@ -181,15 +205,13 @@ def scan(text: str | None, rate: float = 0.001, level: float = 0.001) -> list[tu
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     if LONG_HEX.search(text):
         found += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
-    taken = [(a, b) for _, a, b in found]
-    spans = [m.span() for m in CANDIDATE.finditer(text)]
-    spans = [(a, b) for a, b in spans if all(b <= x or a >= y for x, y in taken)]
+    spans = apart([m.span() for m in CANDIDATE.finditer(text)], [(a, b) for _, a, b in found])
     hits = discoveries([text[a:b] for a, b in spans], rate, level)
     found += [("random", a, b) for (a, b), hit in zip(spans, hits, strict=True) if hit]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def scan_documents(docs: DataFrame, rate: float = 0.001, level: float = 0.001) -> DataFrame:
+def scan_documents(docs: DataFrame, rate: float = 0.001, level: float = 0.01) -> DataFrame:
     """doc_id and its spans, an array of (kind, begin, end)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
@@ -203,7 +225,7 @@ def scan_documents(docs: DataFrame, rate: float = 0.001, level: float = 0.001) -
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,begin:int,end:int>>")
 
 
-def redact(text: str | None, mark: str = "[secret]", rate: float = 0.001, level: float = 0.001) -> str | None:
+def redact(text: str | None, mark: str = "[secret]", rate: float = 0.001, level: float = 0.01) -> str | None:
     """The text with each stretch of overlapping spans replaced by the mark."""
     out, last = [], 0
     for _, a, b in scan(text, rate, level):
