@@ -130,6 +130,7 @@ def test_chat_round_trip(spark):
     rows = [
         (1, 1, "assistant", "b"), (1, 0, "user", "a <sep> ### \\h"), (1, 2, "assistant", None), (1, 3, None, "z\n</turn>\n"),
         (2, 0, "system", ""), (None, 5, "assistant", "alone"), (3, None, "user", "first"), (3, 0, "user", "b"), (3, 0, "user", "b"), (3, 0, "assistant", "a"),
+        (4, 0, "a\nb", "x"), (4, 1, "a b", "y"), (4, 2, "a\\nb", "z"),
     ]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, turns string")
     out = chat.format_conversations(frame)
@@ -146,6 +147,22 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(frame.where("conv_id > 9")).count() == 0
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (1000, 16000):
+        rows = [(1, i, ("user", "assistant")[(i // 3) % 2], f"text {i} #") for i in range(n)]
+        frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        began = time.perf_counter()
+        r = chat.read_back(chat.format_conversations(frame)).first()
+        took.append(time.perf_counter() - began)
+        trained = "".join(t for _, _, role, t in rows if role == "assistant")
+        assert (r["n_turns"], r["loss_sha256"]) == (n, sha(trained))
+        assert r["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for _, _, role, t in rows))
+    assert took[1] < 30
+
+
 def check_pieces(rows, ids_of, limit=4096):
     by_doc, by_sequence = {}, {}
     for r in rows:

@@ -12,6 +12,10 @@ assistant text and false elsewhere.
     ### assistant
     text</turn>
 
+In roles line ends are escaped as well. Merging and reading back take time in
+proportion to the conversation: runs of one role are cut out by their borders,
+and the output is read in blocks of RUNS stretches.
+
 Defined cases: a null text or role counts as empty; rows sort by (turn, role,
 text), nulls first, so ties and repeated rows keep a fixed order and all stay;
 a null conv_id is a conversation of its own; an empty table gives no rows;
@@ -21,38 +25,50 @@ fit one task, as any single text has to.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 OPEN, SEPARATE, CLOSE = "### ", "<sep>", "</turn>\n"
 #: Fixed values of the template: what stands for each character inside texts and roles. The backslash goes first.
 ESCAPES = (("\\", "\\e"), ("#", "\\h"), ("<", "\\l"))
+ROLE_ESCAPES = (*ESCAPES, ("\n", "\\n"))
 TRAINED_ROLE = "assistant"
+RUNS = 256
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def escape(text: Column) -> Column:
-    for plain, coded in ESCAPES:
+
+def escape(text: Column, escapes=ESCAPES) -> Column:
+    for plain, coded in escapes:
         text = F.replace(text, F.lit(plain), F.lit(coded))
     return text
 
 
-def unescape(text: Column) -> Column:
-    for plain, coded in reversed(ESCAPES):
+def unescape(text: Column, escapes=ESCAPES) -> Column:
+    for plain, coded in reversed(escapes):
         text = F.replace(text, F.lit(coded), F.lit(plain))
     return text
 
 
 def merge_turns(turns: Column) -> Column:
     """array<(role, texts)> of sorted turns, adjacent ones of the same role joined."""
-    kind = "array<struct<role:string,texts:array<string>>>"
+    n = F.size(turns)
+
+    def begins(i: Column) -> Column:
+        return (i == 1) | (F.get(turns, i - 1).role != F.get(turns, i - 2).role)
 
-    def step(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        fresh = F.array(F.struct(turn.role.alias("role"), F.array(turn.text).alias("texts")))
-        joined = F.array(F.struct(last.role.alias("role"), F.concat(last.texts, F.array(turn.text)).alias("texts")))
-        same = (F.size(done) > 0) & F.coalesce(F.get(done, F.size(done) - 1).role == turn.role, F.lit(False))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), joined)).otherwise(F.concat(done, fresh)).cast(kind)
+    def merged(starts: Column) -> Column:
+        def one(start: Column, k: Column) -> Column:
+            own = F.slice(turns, start, F.coalesce(F.get(starts, k + 1), n + 1) - start)
+            return F.struct(F.get(turns, start - 1).role.alias("role"), F.transform(own, lambda t: t.text).alias("texts"))
 
-    return F.aggregate(turns, F.array().cast(kind), step)
+        return F.transform(starts, one)
+
+    return let(F.filter(F.sequence(F.lit(1), n), begins), merged)
 
 
 def stretches(merged: Column) -> Column:
@@ -62,7 +78,7 @@ def stretches(merged: Column) -> Column:
         return F.struct(text.alias("part"), loss.alias("loss"))
 
     def one(turn: Column) -> Column:
-        head = F.array(part(F.concat(F.lit(OPEN), escape(F.replace(turn.role, F.lit("\n"), F.lit(" "))), F.lit("\n")), F.lit(False)))
+        head = F.array(part(F.concat(F.lit(OPEN), escape(turn.role, ROLE_ESCAPES), F.lit("\n")), F.lit(False)))
         loss = turn.role == TRAINED_ROLE
         body = F.flatten(F.transform(turn.texts, lambda t, i: F.concat(F.when(i > 0, F.array(part(F.lit(SEPARATE), F.lit(False)))).otherwise(F.array().cast("array<struct<part:string,loss:boolean>>")), F.array(part(escape(t), loss)))))
         return F.concat(head, body, F.array(part(F.lit(CLOSE), F.lit(False))))
@@ -87,7 +103,7 @@ def parse_turns(formatted: Column) -> Column:
     """array<(role, text)> of the turns in a formatted conversation, unmerged."""
 
     def one(block: Column) -> Column:
-        role = unescape(F.substring(F.substring_index(block, "\n", 1), len(OPEN) + 1, 1 << 30))
+        role = unescape(F.substring(F.substring_index(block, "\n", 1), len(OPEN) + 1, 1 << 30), ROLE_ESCAPES)
         body = F.substring(block, F.locate("\n", block) + 1, F.length(block))
         return F.transform(F.split(body, SEPARATE), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
@@ -97,13 +113,25 @@ def parse_turns(formatted: Column) -> Column:
 
 def trained_texts(formatted: Column, mask: Column) -> Column:
     """array<string>: each stretch under the mask, unescaped."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
+
+    def chars(runs: Column) -> Column:
+        return F.aggregate(runs, F.lit(0), lambda total, run: total + run.chars)
+
+    def block(k: Column) -> Column:
+        own = F.slice(mask, k * RUNS + 1, RUNS)
+
+        def read(text: Column) -> Column:
+            def step(done: Column, run: Column) -> Column:
+                texts = F.when(run.loss, F.concat(done.texts, F.array(unescape(F.substring(text, done.at, run.chars))))).otherwise(done.texts)
+                return F.struct((done.at + run.chars).alias("at"), texts.alias("texts"))
+
+            return F.aggregate(own, begin, step, lambda done: done.texts)
 
-    def step(done: Column, run: Column) -> Column:
-        texts = F.when(run.loss, F.concat(done.texts, F.array(unescape(F.substring(formatted, done.at, run.chars))))).otherwise(done.texts)
-        return F.struct((done.at + run.chars).alias("at"), texts.alias("texts"))
+        return let(F.substring(formatted, chars(F.slice(mask, 1, k * RUNS)) + 1, chars(own)), read)
 
-    return F.aggregate(mask, start, step, lambda done: done.texts)
+    last = F.greatest(F.lit(0), F.ceil(F.size(mask) / RUNS).cast("int") - 1)
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), block))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -155,14 +155,15 @@ ORACLE: dict[str, str] = {
             UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
         ), e AS (
             SELECT *, role IS NOT DISTINCT FROM lag(role) OVER w AS joined,
-                   length(text) + length(text) - length(regexp_replace(text, '[\\#<]', '', 'g')) AS coded
+                   2 * length(text) - length(regexp_replace(text, '[\\#<]', '', 'g')) AS coded,
+                   2 * length(role) - length(regexp_replace(role, '[\\#<\n]', '', 'g')) AS coded_role
             FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
         )
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               CAST(sum(coded + CASE WHEN joined THEN 5 ELSE 4 + length(role) + 1 + 8 END) AS BIGINT) AS formatted_chars
+               CAST(sum(coded + CASE WHEN joined THEN 5 ELSE 4 + coded_role + 1 + 8 END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
     "op9_topk": """
