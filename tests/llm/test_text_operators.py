@@ -201,6 +201,45 @@ def test_packing(spark):
     assert packing.pack_documents(awkward(spark), WORD_BPE).where("doc_id IS NULL").count() >= 1
 
 
+def padding(rows, limit=4096):
+    used = {}
+    for r in rows:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    padded = {n: n if n & (n - 1) == 0 else limit for n in used.values()}
+    return 1 - sum(used.values()) / sum(padded[n] for n in used.values())
+
+
+@pytest.mark.parametrize("words", [2, 4, 7])
+def test_packing_of_short_texts_needs_no_padding(spark, words):
+    rows = packing.pack_documents(documents(spark, ["a " * words] * 20_000).coalesce(2), WORD_BPE, max_segments=512).collect()
+    assert sum(r["length"] for r in rows) == 20_000 * (words + 1) and padding(rows) < 0.02
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    assert max(map(len, sequences.values())) <= 512
+
+
+def test_packing_weighs_masks(spark):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    talks = [(i, j, ("user", "assistant")[j % 2], prose(3 + (5 * i + 7 * j) % 90, i * 10 + j)) for i in range(60) for j in range(4)]
+    frame = chat.format_conversations(spark.createDataFrame(talks, "conv_id long, turn long, role string, text string"))
+    docs = frame.select(F.col("conv_id").alias("doc_id"), F.col("formatted").alias("text"), "mask").coalesce(1)
+    ids, bears = {}, {}
+    for r in docs.collect():
+        coded = tokenizer.encode(r["text"], add_special_tokens=False)
+        loss = [run["loss"] for run in r["mask"] for _ in range(run["chars"])]
+        ids[r["doc_id"]], bears[r["doc_id"]] = [*coded.ids, 2], [*(loss[a] for a, _ in coded.offsets), True]
+    rows = packing.pack_documents(docs, WORD_BPE, max_tokens=1024, max_loss=300, mask_column="mask").collect()
+    sequences = check_pieces(rows, ids, 1024)
+    for r in rows:
+        assert r["loss_tokens"] == sum(bears[r["doc_id"]][r["start"] + 1 : r["start"] + r["length"]])
+    bound = [sum(r["loss_tokens"] for r in own) for own in sequences.values()]
+    assert max(bound) <= 300 and sorted(bound)[len(bound) // 2] > 200
+    assert all(n == 1024 or n & (n - 1) == 0 for n in (sum(r["length"] for r in own) for own in sequences.values()))
+    free = packing.pack_documents(docs, WORD_BPE, max_tokens=1024, max_loss=1024, mask_column="mask").collect()
+    assert max(sum(r["loss_tokens"] for r in own) for own in check_pieces(free, ids, 1024).values()) > 300
+
+
 SECRET = "Zx8Kq2LmP0vT4sYw9RbN7uJd3HfG6aEc"
 
 

@@ -4,12 +4,20 @@ Vector bin packing: every example is a vector (tokens, segments, loss-bearing
 tokens) and every open sequence has the rest of its capacity in the same three
 dimensions. The dot-product heuristic places, again and again, the example
 whose scaled vector has the largest product with the rest; where none fits
-whole, one is cut to fill the sequence. A partition packs its own rows in file
-order, so a lost task gives the same sequences again, and nothing is shuffled.
+whole, one is cut to fill the sequence. A sequence that a limit ends before it
+is full is cut back to a power of two, and what was cut goes on. A partition
+packs its own rows in file order, so a lost task gives the same sequences again,
+and nothing is shuffled; each partition ends with at most 12 short sequences.
+
+Loss-bearing tokens come from a mask (run lengths over the text's code points,
+as the chat formatter writes them) or, without one, are all tokens. The first
+token of a piece has nothing before it to be predicted from and never counts.
 
 Defined cases: a null text is an empty one and still has its end id; a null
-doc_id stays null; repeated rows are packed each for itself; an empty table
-gives no rows; other columns are ignored.
+mask leaves all tokens loss-bearing; characters beyond a mask's runs bear no
+loss, and the end id bears loss if any run does; a null doc_id stays null;
+repeated rows are packed each for itself; an empty table gives no rows; a text
+is packed whole, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from pyspark.sql import DataFrame
 from .words import worker_cache
 
 CACHE_WORDS = 300_000
+CACHE_LETTERS = 16 << 20
 POOL = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _loaded: dict[str, "WordEncoder"] = worker_cache()
@@ -38,11 +47,17 @@ class Learned(dict):
     def __init__(self, work):
         super().__init__()
         self.work = work
+        self.letters = 0
 
     def __missing__(self, key):
         found = self[key] = self.work(key)
+        self.letters += len(key)
         return found
 
+    def forget(self):
+        self.clear()
+        self.letters = 0
+
 
 class WordEncoder:
     """Token ids of texts as little-endian uint32 bytes, one dictionary look-up a word.
@@ -92,82 +107,122 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         for cache in (self.known, self.runs):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+            if len(cache) > CACHE_WORDS or cache.letters > CACHE_LETTERS:
+                cache.forget()
         return [b"".join(map(self.known.__getitem__, t.split())) for t in texts]
 
+    def encode_masked(self, text: bytes, mask: list[dict] | None) -> tuple[bytes, np.ndarray | None]:
+        """Ids, and for each of them and the end id whether the mask's run that holds its first character bears loss."""
+        if mask is None:
+            return self.encode([text])[0], None
+        coded = self.full.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
+        until = np.cumsum([r["chars"] for r in mask])
+        bears = np.array([*(bool(r["loss"]) for r in mask), False])
+        at = np.searchsorted(until, np.array([a for a, _ in coded.offsets], np.int64), side="right")
+        return self.as_bytes(coded), np.append(bears[at], bears.any())
+
+
+class Example:
+    """A document's ids, how many of them are placed, and, where it has a mask, its loss-bearing ids before each position."""
+
+    __slots__ = ("key", "ids", "start", "total", "before")
+
+    def __init__(self, key, ids: bytes, loss: np.ndarray | None):
+        self.key, self.ids, self.start, self.total = key, ids, 0, len(ids) // 4
+        self.before = None if loss is None else np.concatenate([[0], np.cumsum(loss)])
+
+    def loss(self, length: int) -> int:
+        """Loss-bearing tokens of the next piece of ``length`` tokens, its first one never among them."""
+        if self.before is None:
+            return length - 1
+        return int(self.before[self.start + length] - self.before[self.start + 1])
+
+    def longest(self, tokens: int, loss: int) -> int:
+        """The longest next piece within both limits; one token always is."""
+        tokens = min(tokens, self.total - self.start)
+        if self.before is None:
+            return min(tokens, loss + 1)
+        over = np.searchsorted(self.before, self.before[self.start + 1] + loss, side="right") - 1
+        return max(1, min(tokens, int(over) - self.start))
+
 
 class Packer:
     """Packs a stream of (key, ids) into sequences; ``pieces`` fills with rows."""
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, first_sequence: int):
         self.most = (max_tokens, max_segments, max_loss)
-        self.scale = np.array(self.most, float)
         self.next = first_sequence
-        self.pool: list[list] = []  # [key, ids, start, left, all]
-        self.size = np.zeros((0, 3))
+        self.pool: list[Example] = []
         self.pieces: list[tuple] = []
 
-    @staticmethod
-    def loss_of(tokens):
-        """The first token of a piece has no context to be predicted from."""
-        return tokens - 1
-
-    def add(self, key, ids: bytes) -> None:
-        total = len(ids) // 4
-        room = min(self.most[0], self.most[2] + 1)
-        start = 0
-        while total - start >= room:
-            self._place(key, ids, start, room, total, self.next, 0)
+    def add(self, key, ids: bytes, loss: np.ndarray | None = None) -> None:
+        x = Example(key, ids, loss)
+        room = self.most[0]
+        while x.total - x.start >= room and x.loss(room) <= self.most[2]:
+            self._place(x, room, 0)
             self.next += 1
-            start += room
-        if start < total:
-            self.pool.append([key, ids, start, total - start, total])
+        if x.start < x.total:
+            self.pool.append(x)
         if len(self.pool) >= 2 * POOL:
             self.drain(POOL)
 
-    def _place(self, key, ids, start, length, total, sequence, offset) -> None:
-        crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-        self.pieces.append((key, start, length, crc, total, sequence, offset, self.loss_of(length)))
+    def _place(self, x: Example, length: int, offset: int) -> None:
+        crc = zlib.crc32(memoryview(x.ids)[4 * x.start : 4 * (x.start + length)])
+        self.pieces.append((x.key, x.start, length, crc, x.total, self.next, offset, x.loss(length)))
+        x.start += length
 
     def drain(self, down_to: int = 0) -> None:
-        """Fills sequences until at most ``down_to`` examples wait; at 0, the last ones end at powers of two."""
-        left = np.array([x[3] for x in self.pool], np.int64)
-        live = np.ones(len(left), bool)
-        waiting = int(live.sum())
+        """Fills sequences until at most ``down_to`` examples wait."""
+        size = np.array([x.total - x.start for x in self.pool], float)
+        loss = np.array([x.loss(x.total - x.start) for x in self.pool], float)
+        waiting = len(self.pool)
         while waiting > down_to:
-            rest_sum = int(left[live].sum())
-            room = self.most[0]
-            if down_to == 0 and rest_sum < room:
-                room = 1 << (rest_sum.bit_length() - 1)
-            waiting -= self._fill(left, live, room)
-        self.pool = [x for x, keep in zip(self.pool, live, strict=True) if keep]
-
-    def _fill(self, left: np.ndarray, live: np.ndarray, room: int) -> int:
-        sequence, self.next = self.next, self.next + 1
-        rest = [room, self.most[1], self.most[2]]
-        ended = 0
-        while rest[0] > 0 and rest[1] > 0 and rest[2] >= 0 and live.any():
-            at = np.flatnonzero(live)
-            size = left[at]
-            weight = size * (rest[0] / self.scale[0] ** 2) + rest[1] / self.scale[1] ** 2 + self.loss_of(size) * (rest[2] / self.scale[2] ** 2)
-            fits = (size <= rest[0]) & (self.loss_of(size) <= rest[2])
-            if fits.any():
-                i = at[np.argmax(np.where(fits, weight, -1.0))]
-                take = int(left[i])
+            waiting -= self._fill(size, loss)
+        self.pool = [x for x, left in zip(self.pool, size, strict=True) if left < np.inf]
+
+    def _fill(self, size: np.ndarray, loss: np.ndarray) -> int:
+        """Fills one sequence from the pool; placed examples get an infinite size. How many of them there are."""
+        most = self.most
+        tokens, segments, bearing = most
+        chosen: list[tuple[int, int]] = []
+        while tokens > 0 and segments > 0 and len(chosen) < len(size):
+            product = size * (tokens / most[0] ** 2) + segments / most[1] ** 2 + loss * (bearing / most[2] ** 2)
+            product[(size > tokens) | (loss > bearing)] = -1.0
+            i = int(product.argmax())
+            if product[i] >= 0:
+                take, given = int(size[i]), int(loss[i])
+                size[i] = np.inf
+            elif bearing > 0 and (i := int(size.argmin())) not in (c for c, _ in chosen) and size[i] < np.inf:
+                take = self.pool[i].longest(tokens, bearing)
+                given = self.pool[i].loss(take)
+                if take < tokens:
+                    bearing = given
+            else:
+                break
+            chosen.append((i, take))
+            tokens, segments, bearing = tokens - take, segments - 1, bearing - given
+        used = most[0] - tokens
+        over = used - (1 << (used.bit_length() - 1)) if tokens else 0
+        while over > 0:
+            i, take = chosen.pop()
+            cut = min(take, over)
+            over -= cut
+            if take > cut:
+                chosen.append((i, take - cut))
+            x = self.pool[i]
+            size[i] = x.total - x.start
+        offset = ended = 0
+        for i, take in chosen:
+            x = self.pool[i]
+            self._place(x, take, offset)
+            offset += take
+            if x.start < x.total:
+                size[i], loss[i] = x.total - x.start, x.loss(x.total - x.start)
             else:
-                i = at[np.argmin(size)]
-                take = min(int(left[i]), rest[0], rest[2] + 1)
-            key, ids, start, _, total = x = self.pool[i]
-            self._place(key, ids, start, take, total, sequence, room - rest[0])
-            x[2] += take
-            x[3] -= take
-            left[i] -= take
-            if left[i] == 0:
-                live[i] = False
-                x[1] = b""
+                size[i] = np.inf
+                x.ids = b""
                 ended += 1
-            rest = [rest[0] - take, rest[1] - 1, rest[2] - self.loss_of(take)]
+        self.next += 1
         return ended
 
 
@@ -178,11 +233,13 @@ def pack_documents(
     max_tokens: int = 4096,
     max_segments: int = 512,
     max_loss: int = 4096,
+    mask_column: str | None = None,
 ) -> DataFrame:
     """Pieces of the documents with the sequence and offset at which they lie.
 
     A sequence holds at most ``max_tokens`` tokens, ``max_segments`` pieces and
-    ``max_loss`` loss-bearing tokens. ``start`` counts the document's ids before
+    ``max_loss`` loss-bearing tokens; ``mask_column`` names an array of (chars,
+    loss) structs, the run lengths of each text's mask. ``start`` counts the document's ids before
     the piece, ``ids_crc32`` is over its ids as unsigned 32-bit little-endian.
     """
     end = np.array([end_id], "<u4").tobytes()
@@ -193,17 +250,23 @@ def pack_documents(
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = batch.column(1).cast(pa.large_binary())
+            masks = batch.column(2) if mask_column else None
             for i in range(0, len(keys), 256):
                 part = [t or b"" for t in texts.slice(i, 256).to_pylist()]
-                for key, ids in zip(keys[i : i + 256], encoder.encode(part), strict=True):
-                    packer.add(key, ids + end)
+                if masks is None:
+                    for key, ids in zip(keys[i : i + 256], encoder.encode(part), strict=True):
+                        packer.add(key, ids + end)
+                else:
+                    for j, text in enumerate(part):
+                        ids, loss = encoder.encode_masked(text, masks[i + j].as_py())
+                        packer.add(keys[i + j], ids + end, loss)
             if packer.pieces:
                 yield as_batch(packer)
         packer.drain()
         if packer.pieces:
             yield as_batch(packer)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", *([mask_column] if mask_column else [])).mapInArrow(run, SCHEMA)
 
 
 def as_batch(packer: Packer) -> pa.RecordBatch:
