@@ -7,20 +7,23 @@ the target than in the raw stream. A second pair of models, of labelled good
 and labelled toxic texts, counts the texts that hold a word or a word's first
 bytes; each is hashed twice and the weaker ratio counts, less Z standard errors,
 so that only what marks toxic texts for sure is evidence, and the strongest
-evidence in a text counts. Log-weights fall below zero where either measure
-passes its threshold; Gumbel noise is added to the tempered weights, and the k
-largest sums are kept, k being the number of texts on the accepted side.
+evidence in a text counts. A text's log-weight is how far its mean log ratio lies above the
+threshold, in units of 1 / SHARP, or how far its evidence lies beyond the other
+threshold, taken below zero, where that is less.
+Gumbel noise is added to the tempered log-weights, and the k largest sums are
+kept, k being the number of texts with a log-weight above zero. Noise decides
+among texts near the k-th weight; texts far above it stay.
 
 Labels are read from a sample of at most ``label_rows`` rows; three quarters
 fit the models and one quarter sets the two thresholds. Raw counts cover all
 texts. Models have a fixed size (SLOTS), so they can be broadcast.
 
-Defined cases: null and empty texts have no n-grams and are rejected; repeated
-rows get the same weight and noise, and go or stay together; a null doc_id has
-noise of its own and may be kept; without labelled good texts every text with
-words is kept, without labelled toxic ones there is no evidence; an empty table
-gives no rows; texts are read whole; other columns stay where rows are filtered
-and are ignored elsewhere.
+Defined cases: null and empty texts have no n-grams and are rejected; noise is a
+hash of doc_id and text, so repeated rows go or stay together, and so do texts
+that tie with the k-th; a null doc_id may be kept; without labelled good texts
+every text with words is kept, without labelled toxic ones there is no evidence;
+an empty table gives no rows; texts are read whole; other columns, whatever
+their names, stay where rows are filtered and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialize
+from .shared import materialize, unused
 from .words import Words, mix, text_chunks
 
 BITS = 18
@@ -154,11 +157,13 @@ def models(counts: dict[str, np.ndarray], n_good: int, n_toxic: int) -> dict[str
     return out
 
 
-def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row with __words, __ratio and __evidence."""
+def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], names: dict[str, str], seed: int) -> DataFrame:
+    """Columns ``keep`` of every row with its noise (uniform 64-bit hashes), number of words, ratio and evidence under their ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.select(*keep).schema
-    schema = fields.add("__words", "long").add("__ratio", "double").add("__evidence", "double")
+    added = [names[n] for n in ("noise", "words", "ratio", "evidence")]
+    schema = docs.select(*keep).schema
+    for name, kind in zip(added, ("long", "long", "double", "double"), strict=True):
+        schema = schema.add(name, kind)
     columns = keep if "text" in keep else [*keep, "text"]
 
     def run(batches):
@@ -177,10 +182,11 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> Da
                 strong = np.zeros(n)
                 np.maximum.at(strong, text[weak > 0], weak[weak > 0])
                 found[2][row : row + n] = strong
-            own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found)], [*keep, "__words", "__ratio", "__evidence"])
+            own = [batch.column(batch.schema.get_field_index(c)) for c in [*keep, added[0]]]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found)], [*keep, *added])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    noise = F.xxhash64("doc_id", "text", F.lit(seed).cast("long")).alias(added[0])
+    return docs.select(*columns, noise).mapInArrow(run, schema)
 
 
 def best_cut(accepted: np.ndarray, rejected: np.ndarray, cost: float = 10.0) -> float | None:
@@ -194,8 +200,8 @@ def best_cut(accepted: np.ndarray, rejected: np.ndarray, cost: float = 10.0) ->
     return float(cuts[np.argmin(cost * lost + let_in)])
 
 
-def kth_largest(keys: DataFrame, k: int, bins: int = 2048, few: int = 2000):
-    """(key, doc_id) of the k-th row by falling (key, doc_id), by narrowing histograms; at most ``few`` rows reach the driver unless that many keys are equal."""
+def kth_largest(keys: DataFrame, k: int, bins: int = 2048, few: int = 2000) -> float:
+    """The k-th largest key, by narrowing histograms; at most ``few`` different keys reach the driver."""
     low, high = keys.agg(F.min("key"), F.max("key")).first()
     above = 0
     while True:
@@ -213,8 +219,11 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 2048, few: int = 2000):
         low, high = bin_low, bin_high
         if n <= few:
             break
-    inside = keys.where((F.col("key") >= low) & (F.col("key") <= high)).orderBy(F.desc("key"), F.desc_nulls_last("doc_id")).limit(k - above)
-    return inside.agg(F.min(F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")))).first()[0]
+    for row in keys.where((F.col("key") >= low) & (F.col("key") <= high)).groupBy("key").count().orderBy(F.desc("key")).collect():
+        above += row["count"]
+        if above >= k:
+            return row["key"]
+    return low
 
 
 class Classifier:
@@ -222,49 +231,53 @@ class Classifier:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, seed: int = 7):
         self.seed = seed
+        self.names = {n: unused(f"__{n}", docs.columns) for n in ("noise", "words", "ratio", "evidence", "log_weight", "key")}
         sample = labelled_sample(labels, label_rows, seed)
         counts = corpus_counts(docs, sample)
         fit = sample["fit"]
         self.model = models(counts, int((sample["kind"][fit] == 1).sum()), int((sample["kind"][fit] == 2).sum()))
-        small = materialize(scored(docs, self.model, ["doc_id"]), "scores")
-        self.small = small
+        self.small = materialize(self.scored(docs, ["doc_id"]), "scores")
         held = [(int(i), int(k)) for i, k in zip(sample["ids"][~fit], sample["kind"][~fit], strict=True)]
         self.ratio_cut = self.evidence_cut = None
         if held:
             held_rows = docs.sparkSession.createDataFrame(held, "doc_id long, kind long")
-            seen = small.join(F.broadcast(held_rows), "doc_id").select("kind", "__ratio", "__evidence").toPandas()
+            ratio, evidence = self.names["ratio"], self.names["evidence"]
+            seen = self.small.join(F.broadcast(held_rows), "doc_id").select("kind", ratio, evidence).toPandas()
             by = {k: seen[seen["kind"] == k] for k in (1, 2, 3)}
-            self.ratio_cut = best_cut(by[1]["__ratio"].to_numpy(), by[3]["__ratio"].to_numpy())
-            cut = best_cut(-by[1]["__evidence"].to_numpy(), -by[2]["__evidence"].to_numpy())
+            self.ratio_cut = best_cut(by[1][ratio].to_numpy(), by[3][ratio].to_numpy())
+            cut = best_cut(-by[1][evidence].to_numpy(), -by[2][evidence].to_numpy())
             self.evidence_cut = None if cut is None else -cut
-        weighed = self.weigh(small)
-        state = weighed.agg(F.count(F.when(F.col("__margin") > 0, 1)).alias("k")).first()
-        self.cut = kth_largest(weighed.select(F.col("__key").alias("key"), "doc_id"), state["k"]) if state["k"] else None
+        weighed = self.weigh(self.small)
+        k = weighed.where(F.col(self.names["log_weight"]) > 0).count()
+        self.cut = kth_largest(weighed.select(F.col(self.names["key"]).alias("key")), k) if k else None
+
+    def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        return scored(docs, self.model, keep, self.names, self.seed)
 
     def weigh(self, rows: DataFrame) -> DataFrame:
-        """Adds __margin (above zero: accepted), __log_weight and __key."""
-        ratio = F.lit(1.0) if self.ratio_cut is None else (F.col("__ratio") - self.ratio_cut) * SHARP
-        evidence = F.lit(1.0) if self.evidence_cut is None else (F.lit(self.evidence_cut) - F.col("__evidence")) * SHARP
-        margin = F.when(F.col("__words") > 0, F.least(ratio, evidence)).otherwise(F.lit(-1e6))
-        weight = F.when(F.col("__margin") > 0, F.lit(0.0)).otherwise(F.col("__margin") - 5.0)
-        uniform = (F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        return rows.withColumn("__margin", margin).withColumn("__log_weight", weight).withColumn("__key", F.col("__log_weight") / TEMPERATURE - F.log(-F.log(uniform)))
+        """Adds the log-weight and the key, which is the tempered log-weight with Gumbel noise."""
+        c = {n: F.col(x) for n, x in self.names.items()}
+        ratio = F.lit(1.0) if self.ratio_cut is None else (c["ratio"] - self.ratio_cut) * SHARP
+        evidence = F.lit(1.0) if self.evidence_cut is None else (F.lit(self.evidence_cut) - c["evidence"]) * SHARP
+        weight = F.when(c["words"] > 0, F.when(evidence > 0, ratio).otherwise(F.least(ratio, evidence))).otherwise(F.lit(-1e6))
+        uniform = (F.pmod(c["noise"], F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        return rows.withColumn(self.names["log_weight"], weight).withColumn(self.names["key"], c["log_weight"] / TEMPERATURE - F.log(-F.log(uniform)))
 
     def kept(self) -> "F.Column":
         """Whether a weighed row is among the k largest."""
         if self.cut is None:
             return F.lit(False)
-        own = F.coalesce("doc_id", F.lit(-(1 << 63)))
-        return (F.col("__words") > 0) & ((F.col("__key") > self.cut["key"]) | ((F.col("__key") == self.cut["key"]) & (own >= self.cut["doc_id"])))
+        return (F.col(self.names["words"]) > 0) & (F.col(self.names["key"]) >= self.cut)
 
 
 def judge(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> DataFrame:
-    """doc_id, n_words, ratio, evidence, log_weight and kept of every row."""
+    """doc_id, n_words, ratio, evidence, log_weight, gumbel_key and kept of every row."""
     c = Classifier(docs, labels, label_rows)
-    return c.weigh(c.small).select("doc_id", F.col("__words").alias("n_words"), F.col("__ratio").alias("ratio"), F.col("__evidence").alias("evidence"), F.col("__log_weight").alias("log_weight"), c.kept().alias("kept"))
+    shown = {"words": "n_words", "ratio": "ratio", "evidence": "evidence", "log_weight": "log_weight", "key": "gumbel_key"}
+    return c.weigh(c.small).select("doc_id", *(F.col(c.names[n]).alias(x) for n, x in shown.items()), c.kept().alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that the resampling keeps."""
     c = Classifier(docs, labels, label_rows)
-    return c.weigh(scored(docs, c.model, docs.columns)).where(c.kept()).select(*docs.columns)
+    return c.weigh(c.scored(docs, docs.columns)).where(c.kept()).select(*docs.columns)
