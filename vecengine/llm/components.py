@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialize
+from .shared import heavy_join, materialize, release
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour is linked to the least of a node's neighbourhood."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return heavy_join(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = heavy_join(down, least, "u", total).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); a component is named by its least node.
 
-    Rows with a null end or with equal ends say nothing. The links never leave
-    the executors; each round is written to the shared folder.
+    Rows with a null end or with equal ends say nothing, repeated rows as much
+    as one, and an empty table gives no rows. The links never leave the
+    executors; each round is written to the shared folder, and the one before
+    it is freed.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -35,6 +37,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == mark or state[0] == 0:
             break
         mark = state
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        starred = materialize(_large_star(edges, state[0]), "edges")
+        contracted = materialize(_small_star(starred, 2 * state[0]), "edges")
+        release(links.sparkSession, edges, starred)
+        edges = contracted
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

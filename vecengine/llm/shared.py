@@ -1,4 +1,8 @@
-"""Tables that cut lineage, kept in the folder that the whole cluster shares, and bit maps of ids of a fixed size."""
+"""Tables that cut lineage, joins that no frequent key holds up, and bit maps of ids of a fixed size.
+
+Defined cases: an empty frame is written and read as one with the same schema;
+null keys join nothing and null ids have no slot; repeated rows stay repeated.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BITS = 1 << 24
+HEAVY_KEYS = 1 << 16
+HEAVY_LEAST = 200
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, a folder of our own (single machine, tests)."""
+    """The session's spark.checkpoint.dir; where it is unset, a folder of our own (single machine, tests), but never on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vecengine-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +58,40 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them at most) with ``table``, one row a key with ``n``, the number of rows that have it.
+
+    Keys of more than one in HEAVY_KEYS rows, of which there are at most so
+    many, meet a broadcast of theirs, so that none is dealt to one task.
+    """
+    least = max(HEAVY_LEAST, total // HEAVY_KEYS)
+    heavy = F.broadcast(table.where(F.col("n") > least).drop("n"))
+    light = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col("n") <= least).drop("n"), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one where a column has it already (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row a doc_id, none null, and (doc_id, chosen) of repeated ids: the digest of the text taken, which is the least.
+
+    Where no doc_id repeats, the second is None and nothing is shuffled but ids.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    several = materialize(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if several.isEmpty():
+        return rows, None
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    ones = materialize(rows.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", digest).alias("text"), F.min(digest).alias("chosen")), "chosen-texts")
+    return rows.join(several, "doc_id", "left_anti").unionByName(ones.select("doc_id", "text")), ones.select("doc_id", "chosen")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
