@@ -1,9 +1,13 @@
-"""A compressed full-text index over integer symbols: wavelet matrix, counts and a bounded suffix order.
+"""A compressed full-text index over integer symbols: wavelet matrix, counts, and the earliest occurrence of each prefix.
 
-Rows are ordered by the first ``depth`` symbols of their suffixes, and equal
-ones by a key of the caller's. Backward search for patterns of up to ``depth``
-symbols then finds exact intervals; for patterns of just ``depth`` symbols, the
-first row of an interval is the occurrence of least key.
+The index is over the reversed sequence, so that backward search takes a pattern
+from its first symbol to its last. Rows are ordered by the first ``depth``
+symbols of the reversed suffixes, which makes intervals exact for patterns of up
+to ``depth`` symbols. For each length, the least key of the occurrences in each
+interval is kept by the interval's first row; the order itself is dropped.
+
+Defined cases: an empty sequence has no occurrences; 0 separates and is in no
+pattern; symbols beyond the greatest of the sequence may not be asked for.
 """
 
 from __future__ import annotations
@@ -30,14 +34,15 @@ class BitRanks:
 
 
 class FMIndex:
-    """Index of a symbol sequence for patterns of at most ``depth`` (a power of two) symbols.
+    """Index of a symbol sequence for patterns of at most ``depth`` (a power of two) symbols; ``order_key`` orders their occurrences.
 
-    Symbols are 1..top; 0 separates, ends the sequence and is in no pattern.
+    Symbols are 1..top; 0 separates, begins and ends the sequence and is in no pattern.
     """
 
     def __init__(self, symbols: np.ndarray, order_key: np.ndarray, depth: int):
         n = len(symbols)
-        self.top = int(symbols.max(initial=0))
+        self.depth, self.top = depth, int(symbols.max(initial=0))
+        symbols = symbols[::-1]
         rank = symbols.astype(np.uint64)
         step = 1
         while step < depth:
@@ -46,9 +51,18 @@ class FMIndex:
             _, inverse = np.unique(rank * (rank.max(initial=0) + np.uint64(1)) + ahead, return_inverse=True)
             rank = inverse.astype(np.uint64)
             step *= 2
-        self.rows = np.lexsort((order_key, rank)).astype(np.int32)
-        last = symbols[self.rows - 1]
+        rows = np.argsort(rank, kind="stable")
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=self.top + 1))]).astype(np.int64)
+        self.first, self.least = [], []
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for length in range(1, depth + 1):
+            here = symbols[np.minimum(rows + length - 1, n - 1)]
+            new[1:] |= here[1:] != here[:-1]
+            begin = np.maximum(n - length - rows, 0)
+            self.first.append(BitRanks(new))
+            self.least.append(np.minimum.reduceat(order_key[begin], np.flatnonzero(new)) if n else order_key[:0])
+        last = symbols[rows - 1]
         self.levels: list[tuple[int, BitRanks]] = []
         for shift in range(max(1, self.top.bit_length()) - 1, -1, -1):
             bits = ((last >> shift) & 1).astype(bool)
@@ -63,14 +77,33 @@ class FMIndex:
             i = np.where((symbols >> shift) & 1, level.zeros + one, i - one)
         return i
 
+    def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the patterns with one more symbol at their end."""
+        n = len(symbol)
+        both = self._walk(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        start = self.counts[symbol] - self.origin[symbol]
+        return start + both[:n], start + both[n:]
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals [low, high) of rows for each pattern (one a row), searched from the last symbol to the first."""
-        c = patterns[:, -1]
-        low, high = self.counts[c], self.counts[c + 1]
-        n = len(patterns)
-        for j in range(patterns.shape[1] - 2, -1, -1):
-            c = patterns[:, j]
-            both = self._walk(np.concatenate([c, c]), np.concatenate([low, high]))
-            start = self.counts[c] - self.origin[c]
-            low, high = start + both[:n], start + both[n:]
+        """Intervals [low, high) of rows for each pattern (one a row)."""
+        low, high = self.counts[patterns[:, 0]], self.counts[patterns[:, 0] + 1]
+        for j in range(1, patterns.shape[1]):
+            low, high = self.extend(low, high, patterns[:, j])
         return low, high
+
+    def earliest(self, length: int, low: np.ndarray) -> np.ndarray:
+        """Least key of the occurrences in the intervals of patterns of ``length`` symbols that begin at ``low``."""
+        return self.least[length - 1][self.first[length - 1].ones(low + 1) - 1]
+
+    def matching_statistics(self, patterns: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each pattern, which occurs in the sequence with the key ``own``, how many of its symbols from the first on also occur with a lesser key."""
+        length = np.zeros(len(patterns), np.int64)
+        live = np.arange(len(patterns))
+        low, high = self.counts[patterns[:, 0]], self.counts[patterns[:, 0] + 1]
+        for j in range(patterns.shape[1]):
+            if j:
+                low, high = self.extend(low, high, patterns[live, j])
+            more = self.earliest(j + 1, low) < own[live]
+            live, low, high = live[more], low[more], high[more]
+            length[live] = j + 1
+        return length

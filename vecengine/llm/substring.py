@@ -5,19 +5,25 @@ least hash among their five-word grams), so windows are routed to shards by
 minimiser, and only minimisers that occur twice anywhere are routed at all. In
 a shard, the routed stretches become an FM-index over grams at a stride of one
 gram; a window is four symbols. Each stretch is streamed through backward
-search: windows whose interval holds an earlier occurrence are reported.
+search, which gives the matching statistic of each start: how many grams from
+there on also occur earlier, up to the four that the threshold asks for. Starts
+that reach the threshold are reported.
 Minimisers of a hot passage are salted over several shards by document; what is
 first in its salted shard is settled by a minimum over window prints. Copies of
 a whole text start earlier in every window, so only the first of them is routed.
 
 The order is (doc_id, start). Windows are judged on the input, and each word
-covered by a reported window goes.
+covered by a reported window goes. Words are compared by hashes: 48 bits each on
+the way to a shard, where two windows that differ in one word alone are taken for
+equal with a chance of 2**-48, and prints of 127 bits between salted shards.
 
 Defined cases: null and empty texts have no words, lose nothing, and keep an
-empty text; texts shorter than a window lose nothing; rows that repeat a doc_id
-are read as copies of one document; rows with a null doc_id take no part and
-lose nothing; an empty table gives no rows; other columns are ignored (or, by
-``remove_passages``, kept as they are).
+empty text; texts shorter than a window lose nothing; of rows that repeat a
+doc_id the text of the least sha-256 digest is the document's, rows with that
+text lose the same words, and rows with another one lend and lose nothing; rows
+with a null doc_id take no part and lose nothing; an empty table gives no rows;
+other columns, whatever their names, are ignored (or, by ``remove_passages``,
+kept as they are).
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .fmindex import FMIndex
-from .shared import bit_map, in_bit_map, materialize, release
+from .shared import bit_map, heavy_join, in_bit_map, materialize, one_text_each, release, unused
 from .words import Words, gram_hash, mix, text_chunks
 
 HASH_BYTES = 6
@@ -96,9 +102,9 @@ def restored(packed: bytes) -> np.ndarray:
 
 def whole_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc) of texts that a smaller doc_id has as well, and (doc) of the first of each text."""
-    prints = materialize(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("print")), "prints")
-    firsts = prints.groupBy("print").agg(F.min("doc").alias("first"))
-    copies = prints.join(firsts, "print").where("doc <> first").select("doc").distinct()
+    prints = materialize(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("print")), "prints")
+    firsts = materialize(prints.groupBy("print").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    copies = heavy_join(prints, firsts.where("n > 1"), "print", prints.count()).where("doc <> first").select("doc").distinct()
     return copies, firsts.select(F.col("first").alias("doc")).distinct()
 
 
@@ -115,6 +121,7 @@ def held_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """(shard, salted, doc, place, windows, hashes) of each run: its words' hashes as bytes."""
+
     def cut(batches):
         for batch in batches:
             doc, shard, salted, place, windows, out = [], [], [], [], [], []
@@ -132,13 +139,13 @@ def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 columns = [np.concatenate(x) for x in (shard, salted, doc, place, windows)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(out, pa.binary())], ["shard", "salted", "doc", "place", "windows", "hashes"])
 
-    texts = held_in(docs, runs.select("doc").distinct()).select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"])
+    texts = held_in(docs, runs.select("doc").distinct()).select(F.col("doc_id").alias("doc"), "text")
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("run", "shard", "salted")).alias("runs"))
     return texts.join(lists, "doc").mapInArrow(cut, "shard long, salted long, doc long, place long, windows long, hashes binary")
 
 
 def search_shard(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, salted: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(doc, start, mask, print) of a shard: masks of windows that occur earlier here; prints of salted ones that do not."""
+    """(doc, start, mask, print, check) of a shard: masks of windows that occur earlier here; prints of salted ones that do not."""
     sizes = windows + WINDOW - 1
     begin = np.concatenate([[0], np.cumsum(sizes)])
     stretch = np.repeat(np.arange(len(doc)), sizes)
@@ -165,61 +172,70 @@ def search_shard(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, salted
     index = FMIndex(text, key, DEPTH)
     first = np.flatnonzero(inside < windows[stretch])
     patterns = np.stack([text[where[first] + j] for j in range(DEPTH)], axis=1)
-    low, _ = index.search(patterns)
-    own = key[where[first]]
-    earlier = key[index.rows[low]] < own
     owner = stretch[first]
+    earlier = index.matching_statistics(patterns, key[where[first]]) >= DEPTH
     mask = np.zeros(len(doc), np.int64)
     np.bitwise_or.at(mask, owner[earlier], np.int64(1) << inside[first][earlier])
     hit = mask != 0
     open_ = ~earlier & (salted[owner] != 0)
-    prints = np.zeros(int(open_.sum()), np.uint64)
-    for j in range(DEPTH):
-        prints = mix(prints * np.uint64(0x9E3779B97F4A7C15) + alphabet[patterns[open_, j] - 1])
-    prints |= np.uint64(1)
+    prints = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        value = np.zeros(int(open_.sum()), np.uint64)
+        for j in range(DEPTH):
+            value = mix(value * np.uint64(seed) + alphabet[patterns[open_, j] - 1])
+        prints.append(value)
+    prints[0] |= np.uint64(1)
     starts_open = place[owner[open_]] + inside[first[open_]]
     zero = np.zeros(int(hit.sum()), np.int64)
     return (
         np.concatenate([doc[hit], doc[owner[open_]]]),
         np.concatenate([place[hit], starts_open]),
-        np.concatenate([mask[hit], np.zeros(len(prints), np.int64)]),
-        np.concatenate([zero, prints.view(np.int64)]),
+        np.concatenate([mask[hit], np.zeros(len(starts_open), np.int64)]),
+        *(np.concatenate([zero, p.view(np.int64)]) for p in prints),
     )
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, start, mask): bit i of mask says that the window at start + i also starts earlier; start WHOLE says so of all."""
+    """(doc, start, mask): bit i of mask says that the window at start + i also starts earlier; start WHOLE says so of all. One row a doc_id in ``docs``."""
     copies, firsts = whole_copies(docs)
     runs = materialize(routed_runs(docs, firsts), "runs")
     often = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
-    joined = runs.join(often, "anchor")
-    load = often.agg(F.sum(F.col("n") * (WINDOW + 8)).alias("words")).first()["words"] or 0
-    shards = max(1, -(-load // SHARD_WORDS))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / HOT))
+    found = often.agg(F.sum("n").alias("runs"), F.sum(F.col("n") * (WINDOW + 8)).alias("words")).first()
+    joined = heavy_join(runs, often.withColumn("often", F.col("n")), "anchor", found["runs"] or 0)
+    shards = max(1, -(-(found["words"] or 0) // SHARD_WORDS))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("often") / HOT))
     salt = F.pmod(F.xxhash64("doc"), salts)
     routed = joined.select("doc", "run", F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"), (salts > 1).cast("long").alias("salted"))
     routed = materialize(routed, "routed")
     release(docs.sparkSession, runs, often)
+    columns = ("doc", "start", "mask", "print", "check")
 
     def run(table: pa.Table) -> pa.Table:
         doc, place, windows, salted = (table.column(x).to_numpy() for x in ("doc", "place", "windows", "salted"))
         words = restored(b"".join(table.column("hashes").to_pylist()))
-        return pa.table(dict(zip(("doc", "start", "mask", "print"), map(pa.array, search_shard(doc, place, windows, salted, words)), strict=True)))
+        return pa.table(dict(zip(columns, map(pa.array, search_shard(doc, place, windows, salted, words)), strict=True)))
 
-    found = materialize(stretches(docs, routed).groupBy("shard").applyInArrow(run, "doc long, start long, mask long, print long"), "found")
+    found = materialize(stretches(docs, routed).groupBy("shard").applyInArrow(run, ", ".join(f"{c} long" for c in columns)), "found")
     release(docs.sparkSession, routed)
-    unsettled = found.where("mask = 0")
-    firsts = unsettled.groupBy("print").agg(F.min(F.struct("doc", "start")).alias("first"))
-    later = unsettled.join(firsts, "print").where(F.struct("doc", "start") > F.col("first"))
+    unsettled = found.where("mask = 0").select("doc", "start", "print", "check")
+    firsts = materialize(unsettled.groupBy("print", F.col("check").alias("own")).agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-windows")
+    later = heavy_join(unsettled, firsts, "print", unsettled.count()).where((F.col("check") == F.col("own")) & (F.struct("doc", "start") > F.col("first")))
     one = F.lit(1).cast("long").alias("mask")
     rows = found.where("mask <> 0").select("doc", "start", "mask").unionByName(later.select("doc", "start", one))
     return rows.unionByName(copies.select("doc", F.lit(WHOLE).cast("long").alias("start"), one))
 
 
-def with_windows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``__windows``: the (start, mask) pairs of their repeated windows."""
-    lists = repeated_windows(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "mask")).alias("__windows"))
-    return docs.join(lists, "doc_id", "left")
+def with_windows(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` with one more column: the (start, mask) pairs of their repeated windows."""
+    texts, chosen = one_text_each(docs)
+    lists = repeated_windows(texts).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "mask")).alias(name))
+    if chosen is not None:
+        lists = lists.join(chosen.withColumnRenamed("chosen", name + "_"), "doc_id", "left")
+    marked = docs.join(lists, "doc_id", "left")
+    if chosen is not None:
+        own = F.col(name + "_").isNull() | (F.col(name + "_") == F.sha2(F.coalesce("text", F.lit("")), 256))
+        marked = marked.withColumn(name, F.when(own, F.col(name))).drop(name + "_")
+    return marked
 
 
 def covered_words(windows, n_words: int) -> np.ndarray:
@@ -259,8 +275,8 @@ def digest_kept(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    marked = with_windows(docs.select("doc_id", "text"))
-    return marked.select("doc_id", "text", "__windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked = with_windows(docs.select("doc_id", "text"), "windows")
+    return marked.select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
@@ -284,6 +300,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             out = batch.set_column(i, batch.schema.field(i), pa.array(texts, pa.binary()).cast(batch.column(i).type))
             yield out.select(schema.names)
 
-    marked = with_windows(docs).select(*schema.names, "__windows")
+    name = unused("windows", [c + end for c in schema.names for end in ("", "_")])
+    marked = with_windows(docs, name).select(*schema.names, name)
     out = marked.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
