@@ -12,9 +12,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import awkward, by_id, documents, empty, prose
-from vecengine.llm import classifier, components, neardup, scoring, substring, topk_search
+from vecengine.llm import classifier, components, neardup, scoring, shared, substring, topk_search
 from vecengine.llm.fmindex import FMIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,11 +55,11 @@ def test_near_duplicates(spark):
     texts = [base, base.upper(), *(edited(base, n % 7, n) for n in range(60)), *(edited(other, 1 + n % 4, n) for n in range(30)), "short text", "Short TEXT", *(prose(8, n) for n in range(20))]
     docs = awkward(spark).unionByName(documents(spark, texts, 100))
     known = {i: t for i, (t,) in by_id(docs, "text").items() if i is not None}
-    found = by_id(neardup.near_duplicates(docs), "n_shingles", "component_id", "kept")
+    found = by_id(neardup.near_duplicates(docs, percent=85), "n_shingles", "component_id", "kept")
     assert found.pop(None)[1:] == (None, True)
     assert found == plain_classes(known)
     assert neardup.near_duplicates(empty(spark)).count() == 0
-    kept = neardup.drop_near_duplicates(docs)
+    kept = neardup.drop_near_duplicates(docs, percent=85)
     assert kept.columns == docs.columns and kept.count() == sum(v[2] for v in found.values()) + 1
 
 
@@ -76,12 +77,45 @@ def test_stage_drops_copies_from_eighty_percent(spark):
 
 def test_blocks_of_a_group_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(shared, "HEAVY_LEAST", 5)
     base = prose(200, 21)
     texts = [edited(base, n % 5, n) for n in range(50)]
-    found = by_id(neardup.near_duplicates(documents(spark, texts)), "n_shingles", "component_id", "kept")
+    found = by_id(neardup.near_duplicates(documents(spark, texts), percent=85), "n_shingles", "component_id", "kept")
     assert found == plain_classes(dict(enumerate(texts)))
 
 
+def test_members_that_their_leader_leaves_open_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 6)
+    words = prose(300, 22).split()
+    texts = [" ".join(words[4 * n : 4 * n + 150]) for n in range(30)]
+    found = by_id(neardup.near_duplicates(documents(spark, texts), percent=85), "n_shingles", "component_id", "kept")
+    assert found == plain_classes(dict(enumerate(texts))) and len({c for _, c, _ in found.values()}) < 3
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_repeated_ids_keep_the_links_of_all_their_rows(spark, partitions):
+    w, v = prose(200, 51), prose(220, 52)
+    rows = [(5, w), (5, v), (7, w + " more"), (8, v + " more"), (9, prose(100, 53)), (5, w)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    found = neardup.near_duplicates(frame, percent=85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+    kept = neardup.drop_near_duplicates(frame).collect()
+    first = min((w, v), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(map(tuple, kept)) == [(5, first), (9, prose(100, 53))]
+
+
+def test_union_sketches_estimate_similarity():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    a, b = np.sort(values[:2000]), np.sort(values[200:2200])
+    shared, size, whole = neardup.estimates(a[None, :128], b[None, :128])
+    union = np.union1d(a, b)[:128]
+    assert (shared[0], size[0], whole[0]) == (np.isin(union, np.intersect1d(a, b)).sum(), 128, False)
+    few = np.full((2, 1, 128), neardup.FILL)
+    few[0, 0, :5], few[1, 0, :4] = np.sort(values[:5]), np.sort(values[1:5])
+    assert [int(x[0]) for x in neardup.estimates(*few)] == [4, 5, 1]
+
+
 def test_least_overlap_is_a_bound():
     for size in range(1, 33):
         for partner in range(math.ceil(0.85 * size), int(size / 0.85) + 1):
@@ -114,7 +148,8 @@ def test_scores(spark):
     assert scoring.score_documents(empty(spark)).count() == 0
 
 
-def test_every_seen_pair_has_an_arc(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_scores_equal_a_dictionary(spark, monkeypatch, hot):
     most_frequent = scoring.most_frequent
 
     def few(counts):
@@ -123,40 +158,52 @@ def test_every_seen_pair_has_an_arc(spark, monkeypatch):
             return most_frequent(counts)
 
     monkeypatch.setattr(scoring, "most_frequent", few)
+    monkeypatch.setattr(scoring, "HOT_LEAST", hot)
+    monkeypatch.setattr(scoring, "BUCKET_STEPS", 2000)
     texts = {i: [*prose(150, i % 45).split(), None] for i in range(60)}
+    texts[60] = [*prose(40, 1).split(), "unseen", *prose(20, 99).split(), None]
     train = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10]
     count = collections.Counter(w for ws in train for w in ws)
     pairs = collections.Counter(p for ws in train for p in zip(["<", *ws], ws))
-    shown, norm = collections.Counter(), sum(count.values()) + 0.1 * (len(count) + 1)
-    left, open_ = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (h, _), c in pairs.items():
-        shown[h] += c
-    for (h, w), c in pairs.items():
-        left[h] -= (c - 0.5) / shown[h]
-        open_[h] -= (count[w] + 0.1) / norm
-    assert len(count) > 650
+    shown, norm = collections.Counter({"<": len(train)}), sum(count.values()) + 0.1 * (len(count) + 1)
+    shown.update({w: c for w, c in count.items() if w is not None})
+    assert len(count) > 650 and len(train) < len(texts)
     frame = documents(spark, [" ".join(ws[:-1]) for ws in texts.values()])
-    found = by_id(scoring.score_documents(frame), "score")
+    found = by_id(scoring.score_documents(frame, strength=5.0), "score", "base_score", "n_known")
     for i, ws in texts.items():
-        score = 0.0
-        for h, w in zip(["<", *ws], ws):
-            root = (count[w] + 0.1) / norm
-            score += math.log10((pairs[h, w] - 0.5) / shown[h] if (h, w) in pairs else left[h] / open_[h] * root)
-        assert found[i][0] == pytest.approx(score)
+        root = [(count[w] + 0.1) / norm for w in ws]
+        score = sum(math.log10((pairs[h, w] + 5 * p) / (shown[h] + 5)) for h, w, p in zip(["<", *ws], ws, root))
+        assert found[i] == (pytest.approx(score, abs=1e-9), pytest.approx(sum(map(math.log10, root)), abs=1e-9), sum(count[w] > 0 for w in ws))
 
 
 def test_states_are_distributions():
     rng = np.random.default_rng(3)
     counts = np.sort(rng.integers(5, 50, 40))[::-1].astype(np.int64)
-    head = scoring.Head(rng.integers(1, 1 << 60, 40).astype(np.uint64), counts)
-    pairs = np.zeros((scoring.STATES + 1, scoring.STATES), np.int64)
+    pairs = rng.multinomial(counts, np.full(60, 1 / 60))[:, :40] * (rng.random((40, 40)) < 0.9)
+    rest = counts - pairs.sum(axis=1)
+    none = np.empty(0, np.int64)
+    a = scoring.Automaton(scoring.Head(rng.integers(1, 1 << 60, 40).astype(np.uint64), counts), int(counts.sum()) + 20, 60, 0, (none, none), 4.0)
     for s in range(40):
-        pairs[s, :10] = np.minimum(rng.integers(0, 3, 10), counts[s] // 12)
-    a = scoring.Automaton(head, pairs, int(counts.sum()) + 30, 60, 0)
-    rest = 1 - (10**a.root).sum()
-    for s in range(40):
-        seen = 10 ** a.read(np.arange(40), np.full(40, s))
-        assert seen.sum() + 10 ** a.fail[s] * rest == pytest.approx(1)
+        seen = 10 ** (a.leave(pairs[s], counts) + a.enter(counts[s]))
+        unknown = 10 ** (a.leave(np.zeros(1), np.zeros(1)) + a.enter(counts[s]))
+        others = 10 ** (a.leave(np.zeros(20), np.ones(20)) + a.enter(counts[s]))
+        assert seen.sum() + unknown.sum() + others.sum() == pytest.approx(1 - rest[s] / (counts[s] + 4))
+
+
+def test_blocks_of_tokens_start_with_training_texts():
+    import pyarrow as pa
+
+    ids = [3, None, *range(10, 40)]
+    texts = [prose(5 + n % 7, n) for n in range(32)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    (block,) = scoring.token_blocks([batch])
+    train = scoring.is_training(block.ids)
+    assert sorted(map(str, block.ids)) == sorted(map(str, ids)) and train.tolist() == [True] * block.train + [False] * (32 - block.train)
+    assert dict(zip(block.ids, block.lengths.tolist())) == {i: len(t.split()) + 1 for i, t in zip(ids, texts)}
+    ends = np.cumsum(block.lengths)
+    assert (block.hashes[ends - 1] == scoring.END).all() and (block.states()[ends - block.lengths] == scoring.BEGIN).all()
+    (only,) = scoring.token_blocks([batch], training=True)
+    assert only.ids == block.ids[: block.train] and (only.hashes == block.hashes[: len(only.hashes)]).all()
 
 
 def labelled(spark, n=400):
@@ -187,14 +234,47 @@ def test_classifier_takes_awkward_rows(spark):
     assert classifier.judge(empty(spark), labels).count() == 0
 
 
+def test_resampling_equals_a_plain_gumbel_top_k(spark):
+    import xxhash
+
+    docs, labels = labelled(spark)
+    rows = {r["doc_id"]: r for r in classifier.judge(docs, labels).collect()}
+    texts = {i: t for i, (t,) in by_id(docs, "text").items()}
+    keys = {}
+    for i, t in texts.items():
+        h = 42
+        for part in (i.to_bytes(8, "little"), t.encode(), (7).to_bytes(8, "little")):
+            h = xxhash.xxh64_intdigest(part, h)
+        uniform = (h % (1 << 52) + 0.5) / (1 << 52)
+        keys[i] = rows[i]["log_weight"] / classifier.TEMPERATURE - math.log(-math.log(uniform))
+        assert rows[i]["gumbel_key"] == pytest.approx(keys[i])
+    k = sum(r["log_weight"] > 0 for r in rows.values())
+    best = set(sorted(keys, key=lambda i: -keys[i])[:k])
+    assert {i for i, r in rows.items() if r["kept"]} == best and len({r["log_weight"] for r in rows.values() if r["kept"]}) > k / 3
+
+
+def test_noise_decides_near_the_cut_and_ties_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "best_cut", lambda good, poor, cost=10.0: float(np.median([*good, *poor])))
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["| cell", *prose(3, i).split()] if rng.random() < i / 600 else prose(4, i).split()) for _ in range(60)) for i in range(600)]
+    docs = documents(spark, texts).withColumn("__key", F.lit(1)).withColumn("__RATIO", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i < 200 or 200 <= i < 400 and i % 2), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    found = classifier.judge(docs, labels).collect()
+    cut = sorted((r["log_weight"] for r in found), reverse=True)[sum(r["kept"] for r in found) - 1]
+    assert {r["doc_id"] for r in found if r["kept"]} != {r["doc_id"] for r in found if r["log_weight"] >= cut}
+    kept = classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found)
+    one = documents(spark, ["same words here"] * 5).withColumn("doc_id", F.lit(3).cast("long"))
+    assert classifier.judge(one, labels).where("kept").count() in (0, 5)
+
+
 def test_kth_largest_is_exact(spark):
     rng = random.Random(6)
-    keys = [(i, rng.choice([rng.gauss(0, 1), 0.5])) for i in range(3000)]
-    frame = spark.createDataFrame(keys, "doc_id long, key double")
-    ordered = sorted(((k, i) for i, k in keys), reverse=True)
+    keys = [rng.choice([rng.gauss(0, 1), 0.5]) for _ in range(3000)]
+    frame = spark.createDataFrame([(k,) for k in keys], "key double")
+    ordered = sorted(keys, reverse=True)
     for k in (1, 7, 1500, 3000):
-        row = classifier.kth_largest(frame, k, bins=16, few=20)
-        assert (row["key"], row["doc_id"]) == ordered[k - 1]
+        assert classifier.kth_largest(frame, k, bins=16, few=20) == ordered[k - 1]
 
 
 def plain_passages(texts):
@@ -231,17 +311,39 @@ def test_passages(spark, monkeypatch):
     assert substring.digest_kept(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_passages_of_repeated_ids(spark, partitions):
+    long, short = prose(100, 61), prose(50, 62)
+    first, other = sorted((long, short), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    rows = [(5, short), (5, long), (6, "start " + first + " end"), (7, other), (5, first)]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, windows string, windows_ long").repartition(partitions)
+    found = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.digest_kept(frame).collect())
+    n, m = len(first.split()), len(other.split())
+    assert found == {(5, n, 0): 2, (5, m, 0): 1, (6, n + 2, n): 1, (7, m, 0): 1}
+    cut = substring.remove_passages(frame)
+    assert cut.columns == frame.columns and {r["text"] for r in cut.where("doc_id = 6").collect()} == {"start end"}
+
+
 def test_full_text_index():
     rng = np.random.default_rng(7)
-    text = np.append(rng.integers(1, 6, 500), 0)
-    index = FMIndex(text, np.arange(501), 4)
+    text = np.concatenate([[0], rng.integers(1, 6, 250), [0], rng.integers(1, 6, 250), [0]])
+    keys = rng.permutation(len(text))
+    index = FMIndex(text, keys, 4)
+
+    def places(p):
+        return [i for i in range(len(text) - len(p) + 1) if (text[i : i + len(p)] == p).all()]
+
     for size in (1, 2, 3, 4):
         patterns = rng.integers(1, 6, (100, size))
         low, high = index.search(patterns)
         for p, a, b in zip(patterns, low, high, strict=True):
-            places = [i for i in range(501 - size) if (text[i : i + size] == p).all()]
-            assert b - a == len(places)
-            assert size < 4 or not places or index.rows[a] == places[0]
+            assert b - a == len(places(p))
+            assert a == b or index.earliest(size, np.array([a]))[0] == min(keys[i] for i in places(p))
+    starts = np.array([i for i in range(len(text) - 4) if (text[i : i + 4] > 0).all()])
+    patterns = np.stack([text[starts + j] for j in range(4)], axis=1)
+    found = index.matching_statistics(patterns, keys[starts])
+    for i, p, length in zip(starts, patterns, found, strict=True):
+        assert length == max([0, *(d for d in range(1, 5) if any(keys[j] < keys[i] for j in places(p[:d])))])
 
 
 def test_top_k(spark):
@@ -264,6 +366,21 @@ def test_top_k(spark):
     assert topk_search.top_k(none, none).count() == 0
 
 
+def test_top_k_takes_great_components(spark):
+    x = [[300000.0, 0.0], [1.0, 2.0], [1.0, 3.0], [-1e12, 5.0], [2.5e5, 1e7], [3.0, 1.0]]
+    frame = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    rows = topk_search.quantize(frame)
+    whole = [[math.floor(256 * c) for c in v] for v in x]
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_search.top_k(rows, rows.where("vec_id IN (1, 2, 5)"), 3).collect()}
+    for q in (1, 2, 5):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:3]
+        assert [found[q, r] for r in (1, 2, 3)] == [(i, -s) for s, i in best]
+    assert topk_search.products(np.array([[2.0**40]]), np.array([[2.0**20 + 1]])).tolist() == [[(1 << 60) + (1 << 40)]]
+    wide = topk_search.BlockIndex(np.arange(3), np.array([[2.0**60], [2.0**20], [1.0]]))
+    with pytest.raises(OverflowError):
+        wide.search(np.array([9]), np.array([[2.0**20]]), 2)
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(9)
     vectors = np.zeros((4096, 8), np.int64)

@@ -63,9 +63,28 @@ def test_quality(spark):
 
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
-    rows = quality.base_columns(documents(spark, [prose(30, i) for i in range(20)]))
+    rows = quality.rule_sample(documents(spark, [prose(150, i) for i in range(200)]))
     rules = [quality.Rule("never", F.lit(False)), quality.Rule("always", F.lit(True))]
     assert [r.name for r in quality.ordered_rules(rows, rules)] == ["always", "never"]
+    heavy = F.length(F.regexp_replace(F.regexp_replace("text", "[aeiou]+[a-z]?", "x"), "[^a-z]+", "")) > 0
+    for cheap, dear in (("a", "b"), ("b", "a")):
+        rules = [quality.Rule(dear, heavy), quality.Rule(cheap, F.col("n_words") > 0)]
+        assert [[r.name for r in quality.ordered_rules(rows, rules)] for _ in range(3)] == [[cheap, dear]] * 3
+
+
+def test_rule_sample_is_random_and_bounded(spark):
+    docs = documents(spark, [prose(30, i) for i in range(3000)] + ["x" * (1 << 16)] * 5 + [None, "short"])
+    sample = quality.rule_sample(docs, 100)
+    ids = sorted(r["doc_id"] for r in sample.collect())
+    assert 50 < len(ids) <= 200 and ids[0] < 400 and ids[-1] > 2600 and max(ids) < 3000
+    assert quality.judge(docs).where("kept").count() == 3000
+
+
+def test_line_rules(spark):
+    lines = [prose(12, i) for i in range(8)]
+    texts = ["\n".join("- " + x for x in lines), "\n".join(x + "..." if i % 2 else x for i, x in enumerate(lines)), "\n".join(lines)]
+    found = by_id(quality.judge(documents(spark, texts)), "kept", "failed_rule")
+    assert found == {0: (False, "bullets"), 1: (False, "ellipses"), 2: (True, None)}
 
 
 ODD = ["", " ", "  a  b ", "日本語 テスト", "a\n\n b\tc", "😀 x" * 30, "x" * 300, "\x00a", "\n", "é é", "the quick " * 40, "▁x ▁"]

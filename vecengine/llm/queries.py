@@ -145,7 +145,9 @@ ORACLE: dict[str, str] = {
                AND NOT (10 * n_symbols > n_words)
                AND NOT (word_chars < 2 * n_words OR word_chars > 14 * n_words)
                AND NOT (2 * n_dup_lines > len(lines))
-               AND NOT (10 * (length(text) - length(regexp_replace(text, '[^\p{L}\s]', '', 'g'))) > 4 * word_chars) AS kept
+               AND NOT (10 * (length(text) - length(regexp_replace(text, '[^\p{L}\s]', '', 'g'))) > 4 * word_chars)
+               AND NOT (10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) > 9 * len(lines))
+               AND NOT (10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)) AS kept
         FROM base
     """,
     "op3_chat": r"""
