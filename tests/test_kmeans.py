@@ -60,15 +60,64 @@ def test_partitioning_makes_no_difference(spark):
 
 
 def test_predict_of_own_centers(spark, tmp_path):
+    # Ten centres.
     centers = np.arange(100.0).reshape(10, 10)
     model = KMeans(10, init=centers, max_iter=1).fit(matrix(spark, centers))
     assert [r["label"] for r in model.predict(matrix(spark, centers)).orderBy("id").collect()] == list(range(10))
     model.save(spark, str(tmp_path / "model"))
     loaded = KMeans.load(spark, str(tmp_path / "model"))
     assert (loaded.cluster_centers_ == model.cluster_centers_).all()
+    assert (loaded.inertia_, loaded.n_iter_) == (model.inertia_, model.n_iter_)
+    assert loaded.labels_.orderBy("id").collect() == model.labels_.orderBy("id").collect()
+
+
+def test_prediction_checks_its_rows(spark):
+    model = KMeans(2, init=np.eye(2), max_iter=1).fit(matrix(spark, np.eye(2)))
+    for bad in ([[1.0, float("nan")]], [[1.0, 2.0, 3.0]], [[float("inf"), 0.0]]):
+        rows = matrix(spark, bad)
+        for run in (lambda: model.predict(rows).collect(), lambda: model.transform(rows).collect(), lambda: model.score(rows)):
+            with pytest.raises(Exception, match="2 finite components"):
+                run()
+    with pytest.raises(Exception, match="weight"):
+        model.score(matrix(spark, np.eye(2), [1.0, float("nan")]), "weight")
+
+
+@pytest.mark.parametrize("better", [0, 1])
+def test_the_best_of_the_runs_is_kept(spark, better):
+    x = blobs()
+    good, poor = x[[0, 30, 60, 90]], np.array([[8.0, 8.0], [8.0, 9.0], [9.0, 8.0], [-4.0, 0.0]])
+    seen = []
+
+    def init(rows, k, random_state):
+        seen.append(random_state)
+        return (good if len(seen) - 1 == better else poor) - x.mean(axis=0)
+
+    model = KMeans(4, init=init, n_init=2, max_iter=1, tol=0, random_state=5).fit(matrix(spark, x))
+    alone = [KMeans(4, init=c, n_init=1, max_iter=1, tol=0).fit(matrix(spark, x)).inertia_ for c in (good, poor)]
+    assert alone[0] < alone[1] and model.inertia_ == pytest.approx(alone[0]) and seen == [5, 6]
+
+
+def test_few_distinct_clusters_are_warned_of(spark):
+    rows = matrix(spark, np.repeat(np.eye(2), 4, axis=0))
+    with pytest.warns(RuntimeWarning, match="2 distinct clusters are fewer than n_clusters"):
+        model = KMeans(3, init=np.array([[1.0, 0], [0, 1], [1, 0]]), max_iter=2).fit(rows)
+    assert model.n_distinct_labels() == 2
+
+
+def test_verbose_logs_every_iteration(spark, caplog):
+    x = blobs()
+    with caplog.at_level("INFO", "vecengine.plans.lloyd"):
+        model = KMeans(4, init=x[[0, 30, 60, 90]], max_iter=50, verbose=1).fit(matrix(spark, x))
+    lines = [r.getMessage() for r in caplog.records]
+    steps = [m for m in lines if m.startswith("iteration ")]
+    assert len(steps) == model.n_iter_ == len(model.history_)
+    values = [h["inertia"] for h in model.history_]
+    assert [float(m.split()[-1]) for m in steps] == values and values == sorted(values, reverse=True)
+    assert lines[-1] == f"stopped after iteration {model.n_iter_}: {model.reason_}"
 
 
 def test_relocation_of_one_cluster(spark):
+    # Samples, start and outcome of a relocation.
     x = np.array([[0, 0], [0.5, 0], [0.5, 1], [1, 1]])
     model = KMeans(2, init=np.array([[0.5, 0.5], [3.0, 3.0]])).fit(matrix(spark, x))
     labels = [r["label"] for r in model.labels_.orderBy("id").collect()]
@@ -79,6 +128,7 @@ def test_relocation_of_one_cluster(spark):
 
 
 def test_relocation_of_two_clusters(spark):
+    # Samples, start and outcome of two relocations.
     x = np.array([[-10.0], [-9.5], [-9], [-8.5], [-8], [-1], [1], [9], [9.5], [10]])
     model = KMeans(3, init=np.full((3, 1), -10.0), max_iter=1).fit(matrix(spark, x))
     labels = [r["label"] for r in model.labels_.orderBy("id").collect()]
@@ -118,7 +168,7 @@ def test_plusplus_beats_random_rows(spark):
     rows = matrix(spark, x).cache()
 
     def mean_score(init):
-        return np.mean([KMeans(4, init=init, n_init=1, max_iter=1, random_state=s).fit(rows).inertia_ for s in range(4)])
+        return np.mean([KMeans(4, init=init, n_init=1, max_iter=1, random_state=s).fit(rows).inertia_ for s in range(10)])
 
     assert mean_score("k-means++") < mean_score("random")
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from vecengine.operators import assign, compare, linalg, reduce, topk, update
+from vecengine.plans import lloyd
 from vecengine.sources import datasets
 from vecengine.sources.frames import accepts, as_samples, centers_frame, check_centers, check_samples
 
@@ -26,6 +27,7 @@ def test_sums(spark, shape):
     assert reduce.sum_all(rows.where("id < 0")).first()["total"] == 0
 
 
+# Vectors and the places of their least values.
 @pytest.mark.parametrize(("values", "place"), [((3, 1, 0, 2), 2), ((0, 1, 3, 2), 0), ((3, 1, 2, -1, -2), 4), ((5,), 0), ((1, 0, 0), 1)])
 def test_argmin(spark, values, place):
     assert reduce.argmin(vector(spark, values), "value", "idx").first()["argmin"] == place
@@ -80,8 +82,8 @@ def test_topk(spark, k):
 def test_topk_beyond_size(spark):
     with pytest.raises(ValueError, match="beyond"):
         topk.topk(vector(spark, [1, 2]), "value", 3)
-    with pytest.raises(ValueError, match="has 2 values"):
-        topk.topk_rows(matrix(spark, [[1, 2], [3, 4]]), 3)
+    with pytest.raises(Exception, match="has 2 values"):
+        topk.topk_rows(matrix(spark, [[1, 2], [3, 4]]), 3).collect()
 
 
 @pytest.mark.parametrize(("n", "k", "m"), [(1, 1, 1), (2, 3, 4), (5, 10, 4)])
@@ -142,7 +144,23 @@ def test_update(spark):
     new = update.updated(labelled, own)
     assert {r["cluster_id"]: r["center"] for r in new.collect()} == {0: [1.5, 0.0], 1: [10.0, 10.0], 2: [99.0, 99.0]}
     assert update.shift(own, new).first()[0] == 2.25 + 1
-    assert [r["id"] for r in update.farthest(labelled, 2).collect()] == [1, 2]
+    centers = np.array([[0.0, 0.0], [10.0, 9.0], [99.0, 99.0]])
+    assert [(r["id"], r["label"], -r["order"]) for r in lloyd.farthest_samples(rows.repartition(2), centers, centers, 2, np.zeros(2))] == [(1, 0, 4.0), (2, 1, 1.0)]
+
+
+def test_block_sums_meet_over_partitions(spark):
+    x, w = np.random.default_rng(6).normal(size=(97, 5)), np.random.default_rng(7).random(97)
+    rows = matrix(spark, x, w).repartition(5)
+    found = {r["pos"]: r for r in reduce.column_partials(rows).groupBy("pos").agg({"total": "sum", "low": "min", "high": "max", "n": "sum"}).collect()}
+    assert np.allclose([[found[j][c] for j in range(5)] for c in ("sum(total)", "min(low)", "max(high)", "sum(n)")], [x.sum(axis=0), x.min(axis=0), x.max(axis=0), np.full(5, 97)])
+    assert reduce.sum_axis0(rows.where("id < 0")).count() == 0
+    c = np.random.default_rng(8).normal(size=(3, 5))
+    labels = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    blocks = assign.nearest_blocks(rows, c)
+    assert [r["label"] for r in blocks.orderBy("id").collect()] == labels.tolist()
+    means = {(r["cluster_id"], r["pos"]): r["value"] for r in update.weighted_means(blocks).collect()}
+    for j in set(labels.tolist()):
+        assert np.allclose([means[j, p] for p in range(5)], np.average(x[labels == j], axis=0, weights=w[labels == j]))
 
 
 def test_label_sets(spark):

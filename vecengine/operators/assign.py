@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.vector import squared_distance
 from .blocks import dense, numbers
@@ -43,6 +44,19 @@ def nearest(samples: DataFrame, centers: DataFrame) -> DataFrame:
     return found.select(*samples.columns, F.col("best.label").alias("label"), F.col("best.d2").alias("d2"))
 
 
+def nearest_blocks(samples: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Samples with label and d2, by a matrix product over each batch."""
+    centers = np.asarray(centers, np.float64)
+
+    def run(batches):
+        for batch in batches:
+            x = dense(batch)
+            own = block_labels(x, centers)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(block_squares(x, centers, own))], [*batch.schema.names, "label", "d2"])
+
+    return samples.mapInArrow(run, StructType(list(samples.schema.fields)).add("label", "integer").add("d2", "double"))
+
+
 def pairwise(samples: DataFrame, centers: DataFrame) -> DataFrame:
     """(id, cluster_id, distance) to every centre."""
     each = F.transform("centers", lambda c: F.struct(c.cluster_id.alias("cluster_id"), F.sqrt(squared_distance(F.col("features"), c.center)).alias("distance")))

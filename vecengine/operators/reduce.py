@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vector import Unary, square, total
+from .blocks import dense
 
 SAME: Unary = lambda v: v
 
@@ -14,6 +17,22 @@ def long_form(samples: DataFrame) -> DataFrame:
     return samples.select("id", F.posexplode("features").alias("pos", "value"))
 
 
+def column_partials(samples: DataFrame, func: Unary = SAME) -> DataFrame:
+    """(pos, n, total, low, high) of ``func`` of each column, one row a column and partition: vectors of one length are added up in blocks, before any shuffle."""
+
+    def run(batches):
+        found = None
+        for batch in batches:
+            if len(batch):
+                x = dense(batch)
+                own = np.stack([np.full(x.shape[1], float(len(x))), x.sum(axis=0), x.min(axis=0), x.max(axis=0)])
+                found = own if found is None else np.stack([found[0] + own[0], found[1] + own[1], np.minimum(found[2], own[2]), np.maximum(found[3], own[3])])
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(found.shape[1], dtype=np.int32)), *(pa.array(r) for r in found)], ["pos", "n", "total", "low", "high"])
+
+    return samples.select(F.transform("features", func).alias("features")).mapInArrow(run, "pos int, n double, total double, low double, high double")
+
+
 def sum_all(samples: DataFrame, func: Unary = SAME) -> DataFrame:
     """One row: the sum of ``func`` over all components, 0 for an empty matrix."""
     return samples.agg(F.coalesce(F.sum(total(F.col("features"), func)), F.lit(0.0)).alias("total"))
@@ -21,7 +40,7 @@ def sum_all(samples: DataFrame, func: Unary = SAME) -> DataFrame:
 
 def sum_axis0(samples: DataFrame, func: Unary = SAME) -> DataFrame:
     """(pos, total): sums of columns."""
-    return long_form(samples).groupBy("pos").agg(F.sum(func(F.col("value"))).alias("total"))
+    return column_partials(samples, func).groupBy("pos").agg(F.sum("total").alias("total"))
 
 
 def sum_axis1(samples: DataFrame, func: Unary = SAME) -> DataFrame:
@@ -41,12 +60,12 @@ def argmin(rows: DataFrame, value: str, index: str) -> DataFrame:
 
 def column_means(samples: DataFrame) -> DataFrame:
     """(pos, mean), unweighted."""
-    return long_form(samples).groupBy("pos").agg(F.avg("value").alias("mean"))
+    return column_partials(samples).groupBy("pos").agg((F.sum("total") / F.sum("n")).alias("mean"))
 
 
 def column_range(samples: DataFrame) -> tuple[list[float], list[float]]:
     """Least and greatest value of each column; d numbers each."""
-    rows = long_form(samples).groupBy("pos").agg(F.min("value").alias("low"), F.max("value").alias("high")).orderBy("pos").collect()
+    rows = column_partials(samples).groupBy("pos").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("pos").collect()
     return [r["low"] for r in rows], [r["high"] for r in rows]
 
 

@@ -31,20 +31,20 @@ def kth_value(rows: DataFrame, value: str, k: int) -> DataFrame:
     return counted.select("kth", "n_data", F.size(F.filter("kept", lambda v: v == F.col("kth"))).cast("long").alias("n_topk"))
 
 
-def _check_rows(samples: DataFrame, k: int) -> None:
-    shortest = samples.agg(F.min(F.size("features"))).first()[0]
-    if k < 1 or (shortest is not None and k > shortest):
-        raise ValueError(f"k is {k}, but a row has {shortest} values")
+def _long_enough(k: int):
+    """The vector; one of fewer than k values raises when it is read."""
+    if k < 1:
+        raise ValueError("k has to be at least 1")
+    short = F.raise_error(F.concat(F.lit(f"k is {k}, but a row has "), F.size("features").cast("string"), F.lit(" values")))
+    return F.when(F.size("features") >= k, F.col("features")).otherwise(short.cast("array<double>"))
 
 
 def topk_rows(samples: DataFrame, k: int) -> DataFrame:
     """(id, values): the k largest components of each row, falling; no shuffle."""
-    _check_rows(samples, k)
-    return samples.select("id", F.slice(F.sort_array("features", asc=False), 1, k).alias("values"))
+    return samples.select("id", F.slice(F.sort_array(_long_enough(k), asc=False), 1, k).alias("values"))
 
 
 def topk_idx_rows(samples: DataFrame, k: int) -> DataFrame:
     """(id, indexes) of the k largest components of each row; no shuffle."""
-    _check_rows(samples, k)
-    ranked = F.sort_array(F.transform("features", lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))), asc=False)
+    ranked = F.sort_array(F.transform(_long_enough(k), lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))), asc=False)
     return samples.select("id", F.transform(F.slice(ranked, 1, k), lambda s: -s.i).alias("indexes"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import logging
+import warnings
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import assign
 from ..operators.compare import distinct_labels, same_clustering
-from ..sources.frames import accepts, as_samples, check_centers, check_samples
+from ..sources.frames import accepts, as_samples, check_centers, check_samples, checked
 from . import seeding
 from .lloyd import Fitted, column_sums, lloyd, squares_sum, total_inertia
 
@@ -88,10 +90,15 @@ class KMeans:
         finally:
             samples.unpersist()
         self.cluster_centers_ = best.centers + shift
-        self.inertia_, self.n_iter_, self.history_ = best.inertia, best.n_iter, best.history
+        self.inertia_, self.n_iter_, self.history_, self.reason_ = best.inertia, best.n_iter, best.history, best.reason
         self.labels_ = self.predict(rows)
+        if best.used < self.n_clusters:
+            warnings.warn(f"{best.used} distinct clusters are fewer than n_clusters ({self.n_clusters}): samples may be repeated", RuntimeWarning, stacklevel=2)
         return self
 
+    def _checked(self, rows: DataFrame, weight: str | float | Column | None = None) -> DataFrame:
+        return checked(self._samples(rows, weight), self.cluster_centers_.shape[1])
+
     def _same(self, samples: DataFrame, first: np.ndarray, second: np.ndarray) -> bool:
         return bool(same_clustering(assign.labels(samples, first, "arrow"), assign.labels(samples, second, "arrow")).first()["same"])
 
@@ -104,15 +111,15 @@ class KMeans:
 
     def predict(self, rows: DataFrame, sample_weight=None) -> DataFrame:
         """(id, label), lazily; weights make no difference."""
-        return assign.labels(self._samples(rows), self.cluster_centers_, self.backend)
+        return assign.labels(self._checked(rows), self.cluster_centers_, self.backend)
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """(id, distances) to all centres, lazily."""
-        return assign.distances(self._samples(rows), self.cluster_centers_)
+        return assign.distances(self._checked(rows), self.cluster_centers_)
 
     def score(self, rows: DataFrame, sample_weight: str | float | Column | None = None) -> float:
         """Minus the inertia of the rows; weights may be negative."""
-        return -total_inertia(self._samples(rows, sample_weight), self.cluster_centers_, np.zeros(self.cluster_centers_.shape[1]))
+        return -total_inertia(self._checked(rows, sample_weight), self.cluster_centers_, np.zeros(self.cluster_centers_.shape[1]))[0]
 
     def fit_predict(self, rows: DataFrame, sample_weight=None) -> DataFrame:
         return self.fit(rows, sample_weight).labels_
@@ -121,14 +128,22 @@ class KMeans:
         return self.fit(rows, sample_weight).transform(rows)
 
     def save(self, spark, path: str) -> None:
-        """Writes the centres as Parquet."""
-        rows = [(i, c.tolist()) for i, c in enumerate(self.cluster_centers_)]
-        spark.createDataFrame(rows, "cluster_id int, center array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+        """Writes what was fitted as Parquet: centres with inertia and number of iterations, and labels where there are any."""
+        fitted = (getattr(self, "inertia_", None), getattr(self, "n_iter_", None))
+        rows = [(i, c.tolist(), *fitted) for i, c in enumerate(self.cluster_centers_)]
+        spark.createDataFrame(rows, "cluster_id int, center array<double>, inertia double, n_iter int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+        if getattr(self, "labels_", None) is not None:
+            self.labels_.write.mode("overwrite").parquet(f"{path}/labels")
 
     @classmethod
     def load(cls, spark, path: str, **parameters) -> "KMeans":
-        """An estimator with the centres of ``save``, ready to predict."""
-        rows = spark.read.parquet(path).orderBy("cluster_id").collect()
+        """An estimator with what ``save`` wrote, ready to predict."""
+        rows = spark.read.parquet(f"{path}/centers").orderBy("cluster_id").collect()
         model = cls(len(rows), **parameters)
         model.cluster_centers_ = np.array([r["center"] for r in rows])
+        model.inertia_, model.n_iter_ = rows[0]["inertia"], rows[0]["n_iter"]
+        try:
+            model.labels_ = spark.read.parquet(f"{path}/labels")
+        except AnalysisException:  # none were saved
+            model.labels_ = None
         return model

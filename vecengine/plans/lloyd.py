@@ -26,6 +26,7 @@ class Fitted:
     inertia: float
     n_iter: int
     reason: str
+    used: int
     history: list[dict] = field(default_factory=list)
 
 
@@ -108,15 +109,20 @@ def means_of(sizes: np.ndarray, sums: np.ndarray, old: np.ndarray) -> np.ndarray
     return np.where(kept[:, None], old, sums / np.where(kept, 1, sizes)[:, None])
 
 
-def total_inertia(samples: DataFrame, centers: np.ndarray, shift: np.ndarray) -> float:
+def total_inertia(samples: DataFrame, centers: np.ndarray, shift: np.ndarray) -> tuple[float, int]:
+    """The weighted sum of squared distances to the nearest centres, and how many of these any sample has."""
+
     def partial(batches):
-        total = 0.0
+        total = np.zeros(len(centers) + 1)
         for batch in batches:
             x = dense(batch) - shift
-            total += float((numbers(batch, "weight") * block_squares(x, centers, block_labels(x, centers))).sum())
-        return np.array([total])
+            own = block_labels(x, centers)
+            total[0] += float((numbers(batch, "weight") * block_squares(x, centers, own)).sum())
+            total[1:] += np.bincount(own, minlength=len(centers))
+        return total
 
-    return float(map_sum(samples.select("features", "weight"), partial, 1)[0])
+    found = map_sum(samples.select("features", "weight"), partial, len(centers) + 1)
+    return float(found[0]), int((found[1:] > 0).sum())
 
 
 def lloyd(samples: DataFrame, start: np.ndarray, max_iter: int = 300, tol: float = 0.0, shift: np.ndarray | None = None, verbose: bool = False) -> Fitted:
@@ -135,7 +141,7 @@ def lloyd(samples: DataFrame, start: np.ndarray, max_iter: int = 300, tol: float
         n_iter += 1
         step = {"iteration": n_iter, "changed": changed if before is not None else None}
         if verbose:
-            step["inertia"] = total_inertia(samples, centers, shift)
+            step["inertia"], _ = total_inertia(samples, centers, shift)
             log.info("iteration %d, inertia %s", n_iter, step["inertia"])
         strict = before is not None and changed == 0
         if not strict:
@@ -151,4 +157,5 @@ def lloyd(samples: DataFrame, start: np.ndarray, max_iter: int = 300, tol: float
             reason = "shift within tolerance"
     if verbose:
         log.info("stopped after iteration %d: %s", n_iter, reason)
-    return Fitted(centers, total_inertia(samples, centers, shift), n_iter, reason, history)
+    inertia, used = total_inertia(samples, centers, shift)
+    return Fitted(centers, inertia, n_iter, reason, used, history)

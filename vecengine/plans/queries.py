@@ -15,8 +15,8 @@ from ..functions import vector as V
 from ..functions.rng import streams
 from ..operators import assign, compare, linalg, reduce, topk, update
 from ..sources import datasets
-from ..sources.frames import as_samples, check_samples
-from . import seeding
+from ..sources.frames import as_samples, centers_frame, check_samples
+from . import lloyd, seeding
 from .kmeans import KMeans
 
 K = 8
@@ -65,6 +65,17 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.nearest(samples(spark, sf_dir), centers(spark, sf_dir))
 
 
+def center_array(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    return np.array([r["center"] for r in centers(spark, sf_dir).orderBy("cluster_id").collect()])
+
+
+def explicit_model(spark: SparkSession, sf_dir: str, **parameters) -> KMeans:
+    """An estimator whose centres are the explicit ones."""
+    model = KMeans(K, id_col="vec_id", features_col="embedding", **parameters)
+    model.cluster_centers_ = center_array(spark, sf_dir)
+    return model
+
+
 def r6(column: str | Column) -> Column:
     """Rounded to six places, zero without a sign."""
     return F.round(column, 6) + F.lit(0.0)
@@ -132,10 +143,10 @@ def feature_mean(spark, sf_dir):
     return reduce.column_means(samples(spark, sf_dir)).select("pos", r6("mean").alias("mean"))
 
 
-@register("SELECT arg_min(id, (d2, id)) AS argmin FROM p WHERE cluster_id = 0 AND id >= 8")
+@register("SELECT arg_min(id, (d2, id)) AS argmin FROM (SELECT id, list_sum(list_transform(list_zip(s.f, c.f), lambda t: (t[1] - t[2] - 50) * (t[1] - t[2] - 50))) AS d2 FROM s JOIN c ON cluster_id = 1)")
 def argmin_potential(spark, sf_dir):
-    first = centers(spark, sf_dir).where("cluster_id = 0")
-    rows = assign.nearest(samples(spark, sf_dir).where("id >= 8"), first)
+    first = far_centers(spark, sf_dir).where("cluster_id = 1")
+    rows = assign.nearest(samples(spark, sf_dir), first)
     return reduce.argmin(rows, "d2", "id")
 
 
@@ -259,25 +270,26 @@ def inertia(spark, sf_dir):
 
 @register("SELECT round(-sum(d2), 6) + 0.0 AS score FROM a")
 def score(spark, sf_dir):
-    rows = labelled(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    return assign.inertia(rows).select(r6(-F.col("inertia")).alias("score"))
+    found = explicit_model(spark, sf_dir).score(table(spark, sf_dir, "embeddings"))
+    return spark.createDataFrame([(found,)], "score double").select(r6("score").alias("score"))
 
 
 @register("SELECT id, cluster_id AS label FROM a WHERE id < 8")
 def predict_centers(spark, sf_dir):
-    return labelled(spark, sf_dir).where(F.col("id") < K).select("id", "label")
+    """The labels of the centres themselves."""
+    own = centers(spark, sf_dir)
+    rows = own.select(F.col("cluster_id").cast("long").alias("id"), F.col("center").alias("features"), F.lit(1.0).alias("weight"))
+    return assign.nearest(rows, own).select("id", "label")
 
 
 @register("SELECT id, cluster_id AS label FROM a")
 def predict_blocks(spark, sf_dir):
-    own = centers(spark, sf_dir).orderBy("cluster_id").collect()
-    return assign.labels(samples(spark, sf_dir), np.array([r["center"] for r in own]), backend="arrow")
+    return explicit_model(spark, sf_dir, backend="arrow").predict(table(spark, sf_dir, "embeddings"))
 
 
 @register("SELECT id, cluster_id, round(sqrt(d2), 6) + 0.0 AS distance FROM p")
 def transform_blocks(spark, sf_dir):
-    own = centers(spark, sf_dir).orderBy("cluster_id").collect()
-    found = assign.distances(samples(spark, sf_dir), np.array([r["center"] for r in own]))
+    found = explicit_model(spark, sf_dir).transform(table(spark, sf_dir, "embeddings"))
     return found.select("id", F.posexplode("distances").alias("cluster_id", "d")).select("id", "cluster_id", r6("d").alias("distance"))
 
 
@@ -300,41 +312,18 @@ TABULAR_CENTERS = ((10.0, 10000.0, 0.05, 0.04), (25.0, 30000.0, 0.05, 0.04), (40
     prelude="",
 )
 def tabular_nearest(spark, sf_dir):
-    from ..sources.frames import centers_frame
-
     rows = table(spark, sf_dir, "lineitem")
     own = as_samples(rows.withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "id", list(TABULAR))
-    found = assign.nearest(own, centers_frame(rows, np.array(TABULAR_CENTERS)))
+    found = assign.nearest_blocks(own, np.array(TABULAR_CENTERS))
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("features", F.lit(0))), 4).alias("quantity"))
 
 
 # Matrix products
 
 
-@register("SELECT x.id AS i, y.id AS j, round(sum(x.v * y.v), 6) + 0.0 AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
-def matmul_small(spark, sf_dir):
-    rows = samples(spark, sf_dir)
-    return linalg.matmul_long(entries(rows.where("id < 40")), entries(rows.where("id < 12"))).select("i", "j", r6("value").alias("value"))
-
-
-@register("SELECT x.id AS i, y.id AS j, round(sum(abs(x.v - y.v)), 6) + 0.0 AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
-def matmul_absdiff(spark, sf_dir):
-    rows = samples(spark, sf_dir)
-    out = linalg.matmul_long(entries(rows.where("id < 40")), entries(rows.where("id < 12")), multiply=lambda a, b: F.abs(a - b))
-    return out.select("i", "j", r6("value").alias("value"))
-
-
-@register("SELECT x.id AS i, y.id AS j, round(1 + exp(sum(x.v * y.v)), 6) + 0.0 AS value FROM l x JOIN l y USING (pos) WHERE x.id < 40 AND y.id < 12 GROUP BY ALL")
-def matmul_epilogue(spark, sf_dir):
-    rows = samples(spark, sf_dir)
-    out = linalg.matmul_long(entries(rows.where("id < 40")), entries(rows.where("id < 12")), finish=lambda v: F.exp(v) + 1)
-    return out.select("i", "j", r6("value").alias("value"))
-
-
 @register("SELECT s.id AS i, c.cluster_id AS j, round(list_sum(list_transform(list_zip(s.f, c.f), lambda t: t[1] * t[2])), 6) + 0.0 AS value FROM s CROSS JOIN c")
 def matmul_rows(spark, sf_dir):
-    own = centers(spark, sf_dir).orderBy("cluster_id").collect()
-    out = linalg.matmul_rows(samples(spark, sf_dir), np.array([r["center"] for r in own]))
+    out = linalg.matmul_rows(samples(spark, sf_dir), center_array(spark, sf_dir))
     return out.select(F.col("id").alias("i"), F.posexplode("values").alias("j", "v")).select("i", "j", r6("v").alias("value"))
 
 
@@ -348,17 +337,17 @@ def whole_product(spark, sf_dir, **functions) -> DataFrame:
 
 
 @register(WHOLE.format(value="sum(l.v * y.v)"))
-def matmul_small_whole(spark, sf_dir):
+def matmul_small(spark, sf_dir):
     return whole_product(spark, sf_dir)
 
 
 @register(WHOLE.format(value="sum(abs(l.v - y.v))"))
-def matmul_absdiff_whole(spark, sf_dir):
+def matmul_absdiff(spark, sf_dir):
     return whole_product(spark, sf_dir, multiply=lambda a, b: F.abs(a - b))
 
 
 @register(WHOLE.format(value="1 + exp(sum(l.v * y.v))"))
-def matmul_epilogue_whole(spark, sf_dir):
+def matmul_epilogue(spark, sf_dir):
     return whole_product(spark, sf_dir, finish=lambda v: F.exp(v) + 1)
 
 
@@ -405,14 +394,16 @@ STEP = """
 """
 ONE = STEP.format(n=1, a="a", c="c")
 THREE = ONE + STEP.format(n=2, a="x1", c="c1") + STEP.format(n=3, a="x2", c="c2")
+FIVE = THREE + STEP.format(n=4, a="x3", c="c3") + STEP.format(n=5, a="x4", c="c4")
 
 
 def lloyd_steps(spark, sf_dir, steps: int) -> tuple[DataFrame, DataFrame]:
-    """Centres after some steps as one lazy plan, and the samples labelled by them."""
-    own, rows = centers(spark, sf_dir), samples(spark, sf_dir)
+    """Centres after some passes of the estimator, one scan each, and the samples labelled by them."""
+    own, rows = center_array(spark, sf_dir), samples(spark, sf_dir)
     for _ in range(steps):
-        own = update.updated(assign.nearest(rows, own), own)
-    return own, assign.nearest(rows, own)
+        sizes, sums, _ = lloyd.one_pass(rows, own, None, np.zeros(own.shape[1]))
+        own = lloyd.means_of(sizes, sums, own)
+    return centers_frame(rows, own), assign.nearest_blocks(rows, own)
 
 
 @register(ONE + "SELECT round(sum(list_sum(list_transform(list_zip(c.f, c1.f), lambda t: (t[1] - t[2]) * (t[1] - t[2])))), 6) + 0.0 AS shift FROM c JOIN c1 USING (cluster_id)")
@@ -446,8 +437,7 @@ def lloyd_3(spark, sf_dir):
 @register(THREE + "SELECT cluster_id, pos, round(v, 6) + 0.0 AS value FROM (SELECT cluster_id, unnest(f) AS v, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos FROM c3)")
 def lloyd_loop_3(spark, sf_dir):
     """The estimator's own loop from explicit centres, three iterations."""
-    start = [r["center"] for r in centers(spark, sf_dir).orderBy("cluster_id").collect()]
-    model = KMeans(K, init=start, max_iter=3, tol=0, id_col="vec_id", features_col="embedding")
+    model = KMeans(K, init=center_array(spark, sf_dir), max_iter=3, tol=0, id_col="vec_id", features_col="embedding")
     model.fit(table(spark, sf_dir, "embeddings"), F.lit(1) + F.col("vec_id") % 3)
     rows = [(i, p, float(v)) for i, c in enumerate(model.cluster_centers_) for p, v in enumerate(c)]
     return spark.createDataFrame(rows, "cluster_id int, pos int, v double").select("cluster_id", "pos", r6("v").alias("value"))
@@ -488,11 +478,16 @@ def same_clustering_renamed(spark, sf_dir):
     """
 )
 def kmpp_candidate_step(spark, sf_dir):
-    rows = assign.pairwise(samples(spark, sf_dir), centers(spark, sf_dir)).join(samples(spark, sf_dir).select("id", "weight"), "id")
-    weighed = rows.withColumn("q", F.col("weight") * F.col("distance") * F.col("distance"))
-    own = weighed.where("cluster_id = 0").select("id", F.col("q").alias("pot"))
-    tried = weighed.where("cluster_id BETWEEN 1 AND 4").join(own, "id")
-    return tried.groupBy(F.col("cluster_id").alias("candidate")).agg(r6(F.sum(F.least("q", "pot"))).alias("potential"))
+    """Total potentials that the seeding's step compares: the first centre is adopted, four others are tried."""
+    own = center_array(spark, sf_dir)
+    state = seeding.Potentials(samples(spark, sf_dir))
+    try:
+        state.add(own[0])
+        found = state.totals_with(own[1:5]).sum(axis=0)
+    finally:
+        state.close()
+    rows = [(i, float(v)) for i, v in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "candidate int, potential double").select("candidate", r6("potential").alias("potential"))
 
 
 @register(
@@ -516,7 +511,11 @@ def kmpp_prefix_pick(spark, sf_dir):
 
 @register("SELECT id, cluster_id AS label, round(d2, 6) + 0.0 AS d2 FROM a ORDER BY a.d2 DESC, id LIMIT 5")
 def relocate_farthest(spark, sf_dir):
-    return update.farthest(labelled(spark, sf_dir), 5).select("id", "label", r6("d2").alias("d2"))
+    """The samples that the estimator would move to empty clusters."""
+    own = center_array(spark, sf_dir)
+    found = lloyd.farthest_samples(samples(spark, sf_dir), own, own, 5, np.zeros(own.shape[1]))
+    rows = [(r["id"], r["label"], -r["order"]) for r in found]
+    return spark.createDataFrame(rows, "id long, label int, d2 double").select("id", "label", r6("d2").alias("d2"))
 
 
 @register("SELECT count(*) AS n, CAST(min(len(f)) AS INTEGER) AS d, sum(w) AS weight FROM s")
@@ -525,18 +524,19 @@ def validated_input(spark, sf_dir):
     return samples(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).select("n", F.lit(shape.d).alias("d"), "weight")
 
 
-# Fits and random numbers: rows only
+# Fits and random numbers
 
 
-def _embeddings_fit(spark, sf_dir, init) -> DataFrame:
-    model = KMeans(K, init=init, n_init=1, max_iter=20, random_state=42, id_col="vec_id", features_col="embedding")
+def _embeddings_fit(spark, sf_dir, init, **parameters) -> DataFrame:
+    model = KMeans(K, init=init, n_init=1, random_state=42, id_col="vec_id", features_col="embedding", **{"max_iter": 20} | parameters)
     labels = model.fit(table(spark, sf_dir, "embeddings"), F.lit(1) + F.col("vec_id") % 3).labels_
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register()
+@register(FIVE + "SELECT cluster_id AS label, count(*) AS n FROM x5 GROUP BY cluster_id")
 def kmeans_fit(spark, sf_dir):
-    return _embeddings_fit(spark, sf_dir, lambda rows, k, random_state: np.array([r["features"] for r in rows.orderBy("id").limit(k).collect()]))
+    """Labels after five iterations from the first K samples, which a callable picks."""
+    return _embeddings_fit(spark, sf_dir, lambda rows, k, random_state: np.array([r["features"] for r in rows.orderBy("id").limit(k).collect()]), max_iter=5, tol=0)
 
 
 @register()

@@ -52,6 +52,16 @@ def check_samples(samples: DataFrame) -> Shape:
     return Shape(n, low)
 
 
+def checked(samples: DataFrame, d: int) -> DataFrame:
+    """The samples, lazily; a row with a null, a number that is not finite or not ``d`` components raises when it is read."""
+    finite = F.forall("features", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v))
+    good = F.col("id").isNotNull() & F.coalesce(finite & (F.size("features") == d), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit(f"a sample without {d} finite components: id "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    heavy = F.coalesce((F.abs("weight") < float("inf")) & ~F.isnan("weight"), F.lit(False))
+    weight = F.when(heavy, F.col("weight")).otherwise(F.raise_error(F.lit("a weight that is null or not finite")).cast("double"))
+    return samples.select("id", F.when(good, F.col("features")).otherwise(wrong.cast("array<double>")).alias("features"), weight.alias("weight"))
+
+
 def check_centers(centers, shape: Shape, k: int) -> np.ndarray:
     """Explicit centres as a k x d array of their own."""
     found = np.array(centers, dtype=np.float64)
