@@ -1,7 +1,9 @@
 """Documents to packed training sequences: filter, deduplicate twice, redact, pack.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before it kept; all but the last return the columns of documents.
+before it kept; all but the last return the columns of documents. An empty table
+passes through every stage as one, columns beside doc_id and text stay as they
+are whatever their names, and texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -14,27 +16,44 @@ from vecengine.llm.shared import materialize
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts go; rows that repeat both id and text stay or go together; a null doc_id may stay.
+    """
     return classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (80 % or more of their five-word shingles in common) stays."""
+    """One document of each class of near duplicates (80 % or more of their five-word shingles in common) stays.
+
+    The least doc_id stays; of rows that repeat it, the one whose text has the least digest. Null and empty texts are
+    like no other and stay, as do rows with a null doc_id.
+    """
     return neardup.drop_near_duplicates(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur earlier are cut out of the texts."""
+    """Passages that occur earlier, by (doc_id, place), are cut out of the texts.
+
+    No row goes. Null and empty texts, texts of fewer than 20 words and rows with a null doc_id stay as they are; of
+    rows that repeat a doc_id, those with another text than the one of the least digest do, too.
+    """
     return substring.remove_passages(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark."""
+    """Secrets in the texts are replaced by a mark.
+
+    No row goes; null and empty texts stay as they are, and repeated rows are treated alike.
+    """
     return secrets.redact_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and the sequences that hold them."""
+    """The pieces of all documents and the sequences that hold them.
+
+    A null text is packed as an empty one, which is its end id; repeated rows are packed each for itself.
+    """
     return packing.pack_documents(docs, WORD_BPE)
 
 

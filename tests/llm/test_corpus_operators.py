@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import awkward, by_id, documents, empty, prose
-from vecengine.llm import classifier, components, neardup, scoring, shared, substring, topk_search
+from vecengine.llm import classifier, components, neardup, scoring, secrets, shared, substring, topk_search
 from vecengine.llm.fmindex import FMIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,7 +29,7 @@ def edited(text, changes, seed):
     return " ".join(words)
 
 
-def plain_classes(texts):
+def plain_classes(texts, percent=85):
     """Smallest reachable id and set size by comparing all pairs."""
     sets = {}
     for i, t in texts.items():
@@ -44,7 +44,7 @@ def plain_classes(texts):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             p, q = sorted((find(a), find(b)))
             root[q] = p
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
@@ -401,14 +401,41 @@ def test_pipeline_stages(spark):
 
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
+    columns, seen = docs.columns, [{r["doc_id"]: r["text"] for r in docs.collect()}]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir).cache()
         assert docs.columns == columns
-        sizes.append(docs.count())
-    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] == sizes[4]
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert len(plain_passages(texts)) == sizes[4]
+        seen.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    sizes = list(map(len, seen))
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] == sizes[4] == docs.count()
+    texts = seen[4]
+    assert set(seen[2]) == {i for i, (_, c, _) in plain_classes(seen[1], 80).items() if c == i}
+    for i, (_, _, digest) in plain_passages(seen[2]).items():
+        assert hashlib.sha256(b" ".join((seen[3][i] or "").encode().split())).hexdigest() == digest
+    assert texts == {i: secrets.redact(t) for i, t in seen[3].items()} and texts != seen[3]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(texts)
     assert corpus_pipeline.run(spark, sf_dir).agg({"length": "sum"}).first()[0] == packed.agg({"length": "sum"}).first()[0]
+
+
+def test_pipeline_takes_awkward_and_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = labelled(spark, 60)
+    twice = documents(spark, [prose(80, 71), prose(90, 72)], 500).withColumn("doc_id", F.lit(700).cast("long"))
+    for name, table in (("awkward", awkward(spark).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(twice)), ("empty", empty(spark))):
+        own = table.withColumn("__windows", F.lit(1)).withColumn("windows", F.lit("x")).withColumn("__ratio", F.lit(2.0))
+        own.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.withColumn("doc_id", F.col("doc_id") + 1000).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert found.where("length <= 0").count() == 0 and (found.count() > 0) == (name == "awkward")
+        rows = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, rows, f"{tmp_path}/{name}").columns == own.columns
+
+
+def test_very_long_texts(spark):
+    text = prose(300_000, 81)
+    docs = documents(spark, [text, text[:500], "x" * 3_000_000])
+    assert [r["n_removed"] for r in substring.digest_kept(docs).orderBy("doc_id").collect()][0] == plain_passages({0: text})[0][1]
+    assert [r["n_tokens"] for r in scoring.score_documents(docs).orderBy("doc_id").collect()] == [300_001, len(text[:500].split()) + 1, 2]
+    assert neardup.near_duplicates(docs).where("kept").count() == 3

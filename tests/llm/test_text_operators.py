@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from helpers import awkward, by_id, documents, empty, prose
 from vecengine.llm import chat, packing, pieces, quality, secrets
+from vecengine.llm import words as words_module
 from vecengine.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,6 +39,16 @@ def test_words_and_hashes_depend_on_the_text_alone():
     assert h[1] == h[4] == h[6] and h[0] == h[7] and h[0] != h[3]
 
 
+def test_hashes_do_not_depend_on_segments(monkeypatch):
+    rng = random.Random(13)
+    text = " ".join("x" * rng.choice([1, 2, 5, 30, 200]) + str(rng.random()) for _ in range(300)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, 1000, len(text)])
+    whole = Words(data, offsets).hashes()
+    for size in (40, 64, 500):
+        monkeypatch.setattr(words_module, "SEGMENT", size)
+        assert (Words(data, offsets).hashes() == whole).all()
+
+
 def plain_quality(text):
     text = text or ""
     w = WORD.findall(text)
@@ -337,6 +348,68 @@ def test_spans_apart():
         assert secrets.apart(spans, taken) == [(a, b) for a, b in spans if all(b <= x or a >= y for x, y in taken)]
 
 
+def plain_base_spans(text):
+    """Base spans by trying every start and length, without the operator's patterns."""
+    token, word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"), []
+
+    def run(at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    def assign(at):
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(key)].lower() == key:
+                i = at + len(key)
+                for quote in (True, False):
+                    j = i + 1 if quote and text[i : i + 1] in ("'", '"') else i
+                    j = run(j, " ")
+                    if text[j : j + 1] in (":", "="):
+                        j = run(j + 1, " ")
+                        j += text[j : j + 1] in ("'", '"') and j < len(text)
+                        end = run(j, token)
+                        if end > j:
+                            return end, end - j >= 12
+        return None
+
+    def access(at):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", at) else at
+        return (end, end - at >= 18) if end > at + 4 else None
+
+    def hexadecimal(at):
+        end = run(at, set("0123456789abcdef"))
+        return (end, end - at >= 16) if end > at else None
+
+    for kind, match in (("assign", assign), ("access", access), ("hex", hexadecimal)):
+        at = 0
+        while at < len(text):
+            found = match(at)
+            if found and found[1]:
+                word.append((kind, at, found[0]))
+            at = found[0] if found else at + 1
+    return sorted(word, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_equal_brute_force():
+    rng = random.Random(14)
+    parts = ["password", "PassWd", "secret", "tokens", "api_key", "apikey", "AKIA", "'", '"', " ", "  ", ":", "=", "\n", "\t", "é", "😀", ";"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choice("abcdef0123456789XYZ+/_.-=" if rng.random() < 0.5 else "abcdef0123456789") for _ in range(rng.randrange(1, 24))) for _ in range(rng.randrange(14)))
+        assert [s for s in secrets.scan(text) if s[0] != "random"] == plain_base_spans(text), text
+
+
+def test_step_up_equals_brute_force():
+    rng = random.Random(15)
+    letters = secrets.DIGITS + secrets.UPPER + secrets.LOWER
+    for n in (1, 5, 40):
+        tokens = ["".join(rng.choice(letters if rng.random() < 0.4 else "aeinst_") for _ in range(rng.randrange(20, 40))) for _ in range(n)]
+        mean = sum(map(len, tokens)) / n
+        p = [secrets.secret_p(t, 0.01) * mean / len(t) for t in tokens]
+        best = max((i for i in range(1, n + 1) if sorted(p)[i - 1] <= 0.001 * i / n), default=0)
+        assert secrets.discoveries(tokens, 0.001, 0.01) == [best > 0 and x <= sorted(p)[best - 1] for x in p]
+
+
 def test_secret_digests(spark):
     docs = awkward(spark).unionByName(documents(spark, [f"secret: {SECRET} {SECRET[3:]}1"], 100))
     rows = {r["doc_id"]: r for r in secrets.span_digests(secrets.scan_documents(docs)).collect()}

@@ -2,7 +2,9 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit
 polynomials of the bytes, finished by a bijective mixer; grams combine word
-hashes. Everything is a function of the text alone, never of its batch.
+hashes. Everything is a function of the text alone, never of its batch. Null
+texts count as empty; empty ones have no words; a text is read whole, and beyond
+some bytes for each of its own, memory does not grow with its length.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
+SEGMENT = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -48,7 +51,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, SEGMENT + 1)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -98,11 +101,31 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        n = len(self.data)
-        up, down = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        out = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SEGMENT, side="right")))
+            begin, end = int(self.starts[i]), int(self.ends[j - 1])
+            if end - begin > SEGMENT:
+                out[i] = self._long_hash(begin, end)
+            else:
+                n = end - begin
+                up, down = _power_tables(n + 1)
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum((self.data[begin:end].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+                a, b = self.starts[i:j] - begin, self.ends[i:j] - begin
+                out[i:j] = (total[b] - total[a]) * down[a]
+            i = j
+        return mix(out + (self.ends - self.starts).astype(np.uint64))
+
+    def _long_hash(self, begin: int, end: int) -> int:
+        """The polynomial of one word that is longer than a segment."""
+        up, _ = _power_tables(SEGMENT)
+        total = 0
+        for at in range(begin, end, SEGMENT):
+            block = self.data[at : min(at + SEGMENT, end)].astype(np.uint64) + np.uint64(1)
+            total += int((block * up[: len(block)]).sum(dtype=np.uint64)) * pow(_BASE, at - begin, 1 << 64)
+        return total & ((1 << 64) - 1)
 
     def grams(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of the runs of ``k`` words within one text, and the runs' hashes."""
