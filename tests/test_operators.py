@@ -130,6 +130,12 @@ def test_distances_and_labels(spark):
     assert sum(r["weighted_d2"] for r in assign.looked_up(labelled, own).collect()) == pytest.approx((w * d2.min(axis=1)).sum(), rel=1e-9)
 
 
+def test_gather(spark):
+    x = np.arange(20.0).reshape(10, 2)
+    found = linalg.gather(matrix(spark, x), [7, 2, 7]).orderBy("place").collect()
+    assert [(r["id"], r["features"]) for r in found] == [(i, x[i].tolist()) for i in (7, 2, 7)]
+
+
 def test_ties_go_to_the_lower_id(spark):
     rows, c = matrix(spark, [[0.0, 0.0]]), np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])
     assert {assign.labels(rows, c, b).first()["label"] for b in ("expr", "arrow")} == {0}

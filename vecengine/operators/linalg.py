@@ -41,3 +41,9 @@ def matmul_rows(samples: DataFrame, y_t: np.ndarray, multiply: str = "product",
             yield pa.RecordBatch.from_arrays([pa.array(numbers(batch, "id")), pa.array(list(out), pa.list_(pa.float64()))], ["id", "values"])
 
     return samples.select("id", "features").mapInArrow(run, "id long, values array<double>")
+
+
+def gather(samples: DataFrame, ids: list[int]) -> DataFrame:
+    """(place, id, features, weight) of the rows asked for, as often as they are; the list is the caller's own, and broadcast."""
+    asked = samples.sparkSession.createDataFrame(list(enumerate(map(int, ids))), "place int, id long")
+    return samples.join(F.broadcast(asked), "id").select("place", *samples.columns)

@@ -208,7 +208,7 @@ def vec_sqrt_norm(spark, sf_dir):
 
 @register("SELECT id, pos, round(v, 6) + 0.0 AS value FROM l WHERE id IN (3, 7, 11)")
 def vec_gather(spark, sf_dir):
-    return long_values(samples(spark, sf_dir).where(F.col("id").isin(3, 7, 11)))
+    return long_values(linalg.gather(samples(spark, sf_dir), [11, 3, 7]))
 
 
 # Top-k
@@ -559,3 +559,15 @@ def benchmark_resample(spark, sf_dir):
 def rng_raw(spark, sf_dir):
     stream = streams(1, 42)[0]
     return spark.createDataFrame([(i, str(stream.raw())) for i in range(2)], "draw int, raw string")
+
+
+@register("SELECT * FROM (VALUES (0, '16756476715040848931'), (1, '16052925335932940643')) AS t(stream, raw)", prelude="")
+def rng_jumped(spark, sf_dir):
+    """The first numbers of two streams, the second one jump ahead."""
+    return spark.createDataFrame([(i, str(s.raw())) for i, s in enumerate(streams(2, 42))], "stream int, raw string")
+
+
+@register("SELECT bits, draw, value FROM (VALUES (24), (53)) AS b(bits) CROSS JOIN (VALUES (0, 0.90837::DOUBLE), (1, 0.33061::DOUBLE), (2, 0.95094::DOUBLE)) AS t(draw, value)", prelude="")
+def rng_uniform(spark, sf_dir):
+    rows = [(bits, i, round(s.uniform(bits), 5)) for bits in (24, 53) for s in streams(1, 42) for i in range(3)]
+    return spark.createDataFrame(rows, "bits int, draw int, value double")
