@@ -110,16 +110,20 @@ def default_rules() -> list[Rule]:
     listed = F.filter(F.split(text, "\n"), lambda x: without(x, SPACES) != "")
     lines = F.size(listed)
 
-    def share(pattern: str, tenths: int) -> Column:
-        return let(listed, lambda x: 10 * F.size(F.filter(x, lambda line: line.rlike(pattern))) > tenths * F.size(x))
+    def share(pattern: str, tenths: int, *marks: str) -> Column:
+        """More than so many tenths of the lines match; lines are only made where the text holds one of the marks."""
+        held = text.contains(marks[0])
+        for mark in marks[1:]:
+            held |= text.contains(mark)
+        return held & let(listed, lambda x: 10 * F.size(F.filter(x, lambda line: line.rlike(pattern))) > tenths * F.size(x))
 
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n)),
         Rule("duplicate_lines", 2 * F.col("n_dup_lines") > lines),
         Rule("letters", 10 * no_letters > 4 * F.col("word_chars")),
-        Rule("bullets", share("^[\\x20\\x09]*[-*•]", 9)),
-        Rule("ellipses", share("(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$", 3)),
+        Rule("bullets", share("^[\\x20\\x09]*[-*•]", 9, "-", "*", "•")),
+        Rule("ellipses", share("(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$", 3, "...", "…")),
     ]
 
 
