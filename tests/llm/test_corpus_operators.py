@@ -77,6 +77,8 @@ def test_stage_drops_copies_from_eighty_percent(spark):
 
 def test_blocks_of_a_group_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(neardup, "MANY", 10)
+    monkeypatch.setattr(neardup, "EXTRA", 3)
     monkeypatch.setattr(shared, "HEAVY_LEAST", 5)
     base = prose(200, 21)
     texts = [edited(base, n % 5, n) for n in range(50)]
@@ -84,8 +86,11 @@ def test_blocks_of_a_group_lose_no_link(spark, monkeypatch):
     assert found == plain_classes(dict(enumerate(texts)))
 
 
-def test_members_that_their_leader_leaves_open_are_compared(spark, monkeypatch):
+@pytest.mark.parametrize("many", [5, 1000])
+def test_members_that_their_leader_leaves_open_are_compared(spark, monkeypatch, many):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 6)
+    monkeypatch.setattr(neardup, "MANY", many)
+    monkeypatch.setattr(neardup, "EXTRA", 2)
     words = prose(300, 22).split()
     texts = [" ".join(words[4 * n : 4 * n + 150]) for n in range(30)]
     found = by_id(neardup.near_duplicates(documents(spark, texts), percent=85), "n_shingles", "component_id", "kept")

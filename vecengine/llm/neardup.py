@@ -7,9 +7,9 @@
    of a document's rarest retained values, of which so many are listed that no
    such pair is missed; common values stay out of the lists.
 3. The most typical member of each list leads it, and lists of one leader form
-   a group. In bounded blocks all members are compared with the leader, which
-   links nearly all members of a group of copies; only those that stay open are
-   compared with the other members. Of two members, the sketch of their union
+   a group. In bounded blocks all members are compared with the leader; in large
+   groups, then with some of the members that stay open. What the links so far do
+   not join with its leader is compared with all other members. Of two members, the sketch of their union
    (the k least values of both sketches) estimates the similarity, and what
    passes is decided on full sets.
 4. Links are joined to components by star contractions on the cluster.
@@ -29,10 +29,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
-from .shared import bit_map, heavy_join, in_bit_map, materialize
+from .shared import bit_map, heavy_join, in_bit_map, materialize, release
 from .words import Words, gram_hash, text_chunks
 
 SKETCH = 128
@@ -40,6 +40,8 @@ LISTED = 32
 MISS = 1e-7
 BLOCK_DOCS = 1024
 BLOCK_VALUES = 1 << 20
+MANY = 64
+EXTRA = 24
 ESTIMATED = 1 << 13
 FILL = np.uint64((1 << 64) - 1)
 
@@ -258,8 +260,45 @@ def leader_links(groups: DataFrame, sets: DataFrame, percent: int, sketch: int,
     return full.groupBy("leader", "block").applyInArrow(run, kind)
 
 
+def extra_links(seen: DataFrame, sets: DataFrame, percent: int, sketch: int, total: int) -> DataFrame:
+    """(a, b) links between EXTRA of the open members of each large group and all its members but the leader."""
+    rest = seen.where("NOT linked").where(F.col("docs") > MANY)
+    place = F.row_number().over(Window.partitionBy("leader").orderBy(F.xxhash64("doc", "tag"), "doc", "tag"))
+    chosen = materialize(rest.withColumn("place", place).where(F.col("place") <= EXTRA).select("leader", "doc", "tag", "docs", "total"), "chosen")
+    large = chosen.groupBy("leader").agg(F.first("docs").alias("n"))
+    members = heavy_join(seen, large, "leader", total).select("leader", "doc", "tag", block_of_all().alias("block"), F.lit(False).alias("leads"))
+    leaders = chosen.withColumn("blocks", blocks_of("docs", "total")).select("leader", "doc", "tag", numbers("blocks").alias("block"), F.lit(True).alias("leads"))
+    full = members.unionByName(leaders).join(sets, ["doc", "tag"])
+    return full.groupBy("leader", "block").applyInArrow(lambda table: links_across(table, "leads", percent, sketch), "a long, b long")
+
+
+def block_of_all():
+    return F.pmod(F.xxhash64("doc", "tag"), blocks_of("docs", "total")).cast("int")
+
+
+def links_across(table: pa.Table, side: str, percent: int, sketch: int) -> pa.Table:
+    """Links between the documents of the two sides, as few as join the same ones."""
+    first = table.column(side).to_numpy()
+    ids = table.column("doc").to_numpy()
+    left, right = np.flatnonzero(first), np.flatnonzero(~first)
+    pairs = []
+    if len(left) and len(right):
+        i, j = linked_pairs(sets_of(table, left), sets_of(table, right), percent, sketch)
+        pairs = spanning_forest(ids[left[i]], ids[right[j]])
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+
+def joined_with_leader(seen: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """``seen`` with linked true also for members that ``found`` (node, component) joins with their leader."""
+    leaders = seen.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    named = leaders.join(found.select(F.col("node").alias("node"), F.col("component").alias("whole")), F.col("leader.doc") == F.col("node"), "left").select("leader", "whole", "n")
+    own = seen.join(found.select(F.col("node").alias("doc"), F.col("component").alias("part")), "doc", "left")
+    both = heavy_join(own, materialize(named, "leaders"), "leader", total)
+    return both.withColumn("linked", F.col("linked") | F.coalesce(F.col("part") == F.col("whole"), F.lit(False))).select(*seen.columns)
+
+
 def open_links(seen: DataFrame, sets: DataFrame, percent: int, sketch: int, total: int) -> DataFrame:
-    """(a, b) links of the members that their leader does not link with, to all other members; each block gives a document at most one link to each of its partners' blocks."""
+    """(a, b) links of the members that are not joined with their leader, to all other members; a block gives a forest, never its pairs."""
     rest = seen.where("NOT linked AND docs > 2")
     sizes = rest.groupBy("leader").agg(F.count(F.lit(1)).alias("open"), F.sum("size").alias("open_total"), F.first("docs").alias("n"))
     placed = heavy_join(seen, sizes, "leader", total)
@@ -268,18 +307,7 @@ def open_links(seen: DataFrame, sets: DataFrame, percent: int, sketch: int, tota
     asked = placed.select("leader", "doc", "tag", numbers("rows").alias("r"), block_of("columns").alias("c"), F.lit(False).alias("asks"))
     full = asking.unionByName(asked).join(sets, ["doc", "tag"])
 
-    def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        ids = table.column("doc").to_numpy()
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if len(left) and len(right):
-            i, j = linked_pairs(sets_of(table, left), sets_of(table, right), percent, sketch)
-            pairs = spanning_forest(ids[left[i]], ids[right[j]])
-        else:
-            pairs = []
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
-
-    return full.groupBy("leader", "r", "c").applyInArrow(run, "a long, b long")
+    return full.groupBy("leader", "r", "c").applyInArrow(lambda table: links_across(table, "asks", percent, sketch), "a long, b long")
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -313,14 +341,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, sketch
     reps = classes.select(F.col("rep").alias("doc_id"), "tag", F.col("size").alias("n"), "sketch")
     lists = materialize(inverted_lists(listed_values(reps, listed), percent, listed, listed * total), "lists")
     groups = materialize(leader_groups(lists, listed * total), "groups")
+    release(docs.sparkSession, lists)
     sets = materialize(full_sets(docs, bit_map(groups.select("doc").distinct()), shingle), "sets")
     seen = materialize(leader_links(groups, sets, percent, sketch, listed * total), "seen")
-    links = seen.where("linked").select(F.col("doc").alias("a"), F.col("leader.doc").alias("b")).union(open_links(seen, sets, percent, sketch, listed * total))
+    links = seen.where("linked").select(F.col("doc").alias("a"), F.col("leader.doc").alias("b"))
+    if not seen.where("NOT linked").where(F.col("docs") > MANY).isEmpty():
+        found = materialize(connected_components(links.union(extra_links(seen, sets, percent, sketch, listed * total))), "joined")
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        seen = materialize(joined_with_leader(seen, found, listed * total), "seen")
+    links = links.union(open_links(seen, sets, percent, sketch, listed * total))
     several = usable.groupBy("doc_id").agg(F.min("print").alias("one"), F.max("print").alias("two"), F.count(F.lit(1)).alias("n")).where("one <> two").select("doc_id", "n")
     prints = classes.select("print", "rep", "n")
     own = heavy_join(heavy_join(usable.select("doc_id", "print"), several, "doc_id", total), prints, "print", total).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(links.union(own))
     named = materialize(prints.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"), "n"), "named")
+    release(docs.sparkSession, groups, sets, classes)
     rest = signed.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     every = heavy_join(sized.select("doc_id", "size", "print"), named, "print", total).select("doc_id", F.col("size").alias("n"), "component_id").unionByName(rest)
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
