@@ -293,7 +293,7 @@ def joined_with_leader(seen: DataFrame, found: DataFrame, total: int) -> DataFra
     leaders = seen.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     named = leaders.join(found.select(F.col("node").alias("node"), F.col("component").alias("whole")), F.col("leader.doc") == F.col("node"), "left").select("leader", "whole", "n")
     own = seen.join(found.select(F.col("node").alias("doc"), F.col("component").alias("part")), "doc", "left")
-    both = heavy_join(own, materialize(named, "leaders"), "leader", total)
+    both = heavy_join(own, named, "leader", total)
     return both.withColumn("linked", F.col("linked") | F.coalesce(F.col("part") == F.col("whole"), F.lit(False))).select(*seen.columns)
 
 
@@ -352,8 +352,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, sketch
     links = links.union(open_links(seen, sets, percent, sketch, listed * total))
     several = usable.groupBy("doc_id").agg(F.min("print").alias("one"), F.max("print").alias("two"), F.count(F.lit(1)).alias("n")).where("one <> two").select("doc_id", "n")
     prints = classes.select("print", "rep", "n")
-    own = heavy_join(heavy_join(usable.select("doc_id", "print"), several, "doc_id", total), prints, "print", total).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = connected_components(links.union(own))
+    several = materialize(several, "several")
+    if not several.isEmpty():
+        twice = materialize(heavy_join(usable.select("doc_id", "print"), several, "doc_id", total), "twice")
+        links = links.union(heavy_join(twice, materialize(prints, "prints"), "print", total).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    found = connected_components(links)
     named = materialize(prints.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"), "n"), "named")
     release(docs.sparkSession, groups, sets, classes)
     rest = signed.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))

@@ -62,9 +62,15 @@ def heavy_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataF
     """Inner join of ``rows`` (``total`` of them at most) with ``table``, one row a key with ``n``, the number of rows that have it.
 
     Keys of more than one in HEAVY_KEYS rows, of which there are at most so
-    many, meet a broadcast of theirs, so that none is dealt to one task.
+    many, meet a broadcast of theirs, so that none is dealt to one task; where
+    there is no such key, the join is a plain one. ``table`` is written first,
+    unless it comes from ``materialize``.
     """
+    if not hasattr(table, "written_to"):
+        table = materialize(table, "keys")
     least = max(HEAVY_LEAST, total // HEAVY_KEYS)
+    if (table.agg(F.max("n")).first()[0] or 0) <= least:
+        return rows.join(table.drop("n"), key)
     heavy = F.broadcast(table.where(F.col("n") > least).drop("n"))
     light = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col("n") <= least).drop("n"), key)
     return rows.join(heavy, key).unionByName(light)
