@@ -45,7 +45,8 @@ WINDOW = 20
 DEPTH = WINDOW // GRAM
 SPAN = WINDOW - GRAM + 1
 HOT = 2000
-SHARD_WORDS = 400_000
+SHARD_WORDS = 250_000
+ROWS = 512
 
 
 def minimizer_runs(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +124,7 @@ def stretches(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """(shard, salted, doc, place, windows, hashes) of each run: its words' hashes as bytes."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             doc, shard, salted, place, windows, out = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
@@ -257,7 +258,7 @@ def digest_kept(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = batch.column(1).cast(pa.binary())
             n_words, n_removed, digests = [], [], []
             for i in range(batch.num_rows):
@@ -284,7 +285,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             found = batch.column(batch.num_columns - 1)
             i = batch.schema.get_field_index("text")
             texts = batch.column(i).cast(pa.binary()).to_pylist()
