@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 1 << 15
-TIMED_ROWS = 8000
+TIMED_ROWS = 3000
 LEAST_COST = 1e-3
 
 
