@@ -76,15 +76,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def token_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all training tokens."""
 
+    def merged(parts):
+        words, inverse = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "c"])
+
     def run(batches):
+        parts: list[tuple] = []
         for batch in batches:
-            train = is_training(batch.column(0).to_pylist())
-            batch = batch.filter(pa.array(train))
-            parts = [np.unique(tokens(data, offsets)[0], return_counts=True) for _, data, offsets in text_chunks(batch)]
-            if parts:
-                words, inverse = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-                counts = np.bincount(inverse, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "c"])
+            batch = batch.filter(pa.array(is_training(batch.column(0).to_pylist())))
+            for _, data, offsets in text_chunks(batch):
+                parts.append(np.unique(tokens(data, offsets)[0], return_counts=True))
+                if sum(len(w) for w, _ in parts) > 2 * BLOCK_TOKENS:
+                    yield merged(parts)
+        if parts:
+            yield merged(parts)
 
     partial = docs.select("doc_id", "text").mapInArrow(run, "word long, c long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
