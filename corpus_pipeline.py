@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecengine.llm import classifier, neardup, packing, secrets, substring
 from vecengine.llm.queries import WORD_BPE, table
-from vecengine.llm.shared import materialize
+from vecengine.llm.shared import bound_batches, materialize
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The least doc_id stays; of rows that repeat it, the one whose text has the least digest. Null and empty texts are
     like no other and stay, as do rows with a null doc_id.
     """
+    bound_batches(spark)
     return neardup.drop_near_duplicates(docs, percent=80)
 
 
@@ -38,6 +39,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No row goes. Null and empty texts, texts of fewer than 20 words and rows with a null doc_id stay as they are; of
     rows that repeat a doc_id, those with another text than the one of the least digest do, too.
     """
+    bound_batches(spark)
     return substring.remove_passages(docs)
 
 
@@ -46,6 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     No row goes; null and empty texts stay as they are, and repeated rows are treated alike.
     """
+    bound_batches(spark)
     return secrets.redact_documents(docs)
 
 
@@ -54,6 +57,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null text is packed as an empty one, which is its end id; repeated rows are packed each for itself.
     """
+    bound_batches(spark)
     return packing.pack_documents(docs, WORD_BPE)
 
 

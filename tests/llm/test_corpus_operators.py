@@ -181,6 +181,21 @@ def test_scores_equal_a_dictionary(spark, monkeypatch, hot):
         assert found[i] == (pytest.approx(score, abs=1e-9), pytest.approx(sum(map(math.log10, root)), abs=1e-9), sum(count[w] > 0 for w in ws))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_scores_of_the_test_table_equal_a_dictionary(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, (t,) in by_id(docs, "text").items()}
+    train = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for ws in train for w in ws)
+    pairs = collections.Counter(p for ws in train for p in zip([0, *ws], ws))
+    norm, k = sum(count.values()) + 0.1 * (len(count) + 1), scoring.STRENGTH
+    found = by_id(scoring.score_documents(docs), "score", "n_tokens", "train_tokens")
+    assert set(found) == set(texts)
+    for i, ws in texts.items():
+        score = sum(math.log10((pairs[h, w] + k * (count[w] + 0.1) / norm) / ((count[h] if h != 0 else len(train)) + k)) for h, w in zip([0, *ws], ws))
+        assert found[i] == (pytest.approx(score, abs=1e-9 * len(ws)), len(ws), sum(count.values()))
+
+
 def test_states_are_distributions():
     rng = np.random.default_rng(3)
     counts = np.sort(rng.integers(5, 50, 40))[::-1].astype(np.int64)

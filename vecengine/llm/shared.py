@@ -16,12 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BITS = 1 << 24
+BATCH_ROWS = 2000
 HEAVY_KEYS = 1 << 16
 HEAVY_LEAST = 200
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Sets the rows of an Arrow batch to BATCH_ROWS where the session has Spark's own default: texts are long, and a task holds a batch several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset, a folder of our own (single machine, tests), but never on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
