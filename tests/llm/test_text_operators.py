@@ -135,6 +135,23 @@ def test_digests_come_from_encodings_with_spans(spark, monkeypatch):
     assert seen and {"begins", "ends"} <= set(seen[0].columns)
 
 
+def test_new_chunks_of_many_texts_are_merged_together(monkeypatch):
+    """No chunk of known letters is merged by itself, and what comes of all of them is what the library and the one-by-one merge give."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    rng = random.Random(3)
+    made = ["".join(rng.choice("aaeinorstlm\u00e9\u00df0.▁") for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    texts = [*ODD, *(" ".join(rng.choices(made, k=30)) for _ in range(300)), "a" * 47, "l" * 48 + " " + "l" * 49]
+    coder, alone = pieces.PieceCoder(PIECE_BPE), []
+    split = coder.split
+    monkeypatch.setattr(coder, "split", lambda chunk: alone.append(chunk) or split(chunk))
+    for group in pieces.groups(texts):
+        for text, chunks in zip(group, coder.prepare(group), strict=True):
+            ids, begins, ends, decoded = coder.encode_arrays(text, chunks)
+            assert ids.tolist() == library.encode(text) and decoded == library.decode(ids.tolist())
+            assert (ids.tolist(), list(zip(begins.tolist(), ends.tolist(), strict=True))) == pieces.PieceCoder.load(PIECE_BPE).encode(text)
+    assert not [c for c in alone if len(c) <= 48 and all(x in coder.ids for x in c)]
+
+
 def test_compiled_character_map(tmp_path):
     model = sentencepiece_model_pb2.ModelProto()
     with open(PIECE_BPE, "rb") as f:

@@ -6,7 +6,8 @@ Normalisation takes the longest prefix that the trie knows, again and again,
 and records for each normalised byte the source byte at which its rule began;
 each piece of the encoding then projects to a span of source bytes. Merging
 follows the pieces' scores within chunks that no piece can cross, so a chunk's
-ids depend on the chunk alone and are remembered.
+ids depend on the chunk alone and are remembered. Chunks of up to 48 letters
+that are met for the first time are merged together, those of many texts at once.
 
 Defined cases: null and empty texts encode to the end id alone (where one is
 asked for) and decode to an empty text; repeated rows are coded each for
@@ -20,17 +21,21 @@ import array
 import heapq
 import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .merges import LONGEST, Merger, UNKNOWN as STRANGE
 from .words import worker_cache
 
 MARK = "▁"
 CACHE_CHUNKS = 400_000
 CACHE_LETTERS = 64
 BLOCK_ROWS = 512
+GROUP_LETTERS = 1 << 19
+MERGED_ROWS = 1 << 13
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
 FAR = 1 << 60
 _loaded: dict[str, "PieceCoder"] = worker_cache()
@@ -140,6 +145,14 @@ class PieceCoder:
         self.chunks = re.compile(f"{alone}|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.plain = not self.map.units and not self.flags["squeeze"] and self.flags["escape"]
         self.known: dict[str, tuple[bytes, str]] = {}
+        letters = {c for p in self.ids for c in p}
+        self.symbols = np.full(max(map(ord, letters), default=0) + 2, STRANGE, np.int64)
+        singles = {c: self.ids.get(c, len(self.pieces) + ord(c)) for c in letters}
+        self.symbols[[ord(c) for c in singles]] = list(singles.values())
+        symbol = singles | self.ids
+        self.merger = Merger(
+            {(symbol[p[:i]], symbol[p[i:]]): (self.rank[p], self.ids[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol}
+        )
 
     @classmethod
     def load(cls, path: str) -> "PieceCoder":
@@ -302,6 +315,32 @@ class PieceCoder:
             self.known[chunk] = got
         return got
 
+    def learn(self, chunks: list[str]) -> None:
+        """Remembers chunks of up to LONGEST letters, merged together; those with letters that are no pieces go one by one."""
+        chunks = sorted(chunks, key=len)
+        for start in range(0, len(chunks), MERGED_ROWS):
+            part = chunks[start : start + MERGED_ROWS]
+            codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+            symbols = self.symbols[np.minimum(codes, len(self.symbols) - 1)]
+            ids, counts = self.merger.merge(symbols, np.fromiter(map(len, part), np.int64, len(part)))
+            ends = np.cumsum(counts)
+            strange = np.add.reduceat(ids >= len(self.pieces), ends - counts) > 0
+            raw, ends = ids.astype(np.int32).tobytes(), (4 * ends).tolist()
+            for chunk, a, b in zip(part, [0, *ends], ends, strict=False):
+                self.known[chunk] = (raw[a:b], chunk.replace(MARK, " "))
+            for i in np.flatnonzero(strange).tolist():
+                self.remember(part[i])
+
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """The texts' chunks, the short ones of them remembered."""
+        if not self.plain:
+            return [[] for _ in texts]
+        if len(self.known) > CACHE_CHUNKS:
+            self.known.clear()
+        cut = [self.cut(self.normal(t)) for t in texts]
+        self.learn([c for c in set(chain.from_iterable(cut)).difference(self.known) if len(c) <= LONGEST])
+        return cut
+
     def sources(self, text: str) -> np.ndarray:
         """What ``normalize`` records, for a model that only writes marks for spaces."""
         source = np.frombuffer(text.encode(), np.uint8)
@@ -313,16 +352,16 @@ class PieceCoder:
         prefix = len(MARK.encode()) if self.flags["prefix"] and len(source) else 0
         return np.concatenate([np.zeros(prefix, np.int32), np.repeat(where, wide), np.array([len(source)], np.int32)])
 
-    def encode_arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """Ids, begins and ends of their spans of source bytes, and the decoded text, from remembered chunks."""
+    def encode_arrays(self, text: str, chunks: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """Ids, begins and ends of their spans of source bytes, and the decoded text, from remembered chunks (``prepare`` gives them)."""
         if not self.plain:
             ids, spans = self.encode(text)
             begins, ends = np.array(spans, np.int32).reshape(-1, 2).T
             return np.array(ids, np.int32), begins, ends, self.decode(ids)
         known = self.known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        got = [known.get(c) or self.remember(c) for c in self.cut(self.normal(text))]
+        if chunks is None:
+            (chunks,) = self.prepare([text])
+        got = [known.get(c) or self.remember(c) for c in chunks]
         ids = np.frombuffer(b"".join([x[0] for x in got]), np.int32)
         edge = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.sizes[ids], out=edge[1:])
@@ -333,6 +372,19 @@ class PieceCoder:
         return ids, edge[:-1], edge[1:], decoded
 
 
+def groups(texts: list[str]):
+    """Runs of texts of about GROUP_LETTERS letters; a longer text is a group of its own."""
+    group, letters = [], 0
+    for text in texts:
+        if group and letters + len(text) > GROUP_LETTERS:
+            yield group
+            group, letters = [], 0
+        group.append(text)
+        letters += len(text)
+    if group:
+        yield group
+
+
 def encode_documents(docs: DataFrame, model_path: str, add_end: bool = True) -> DataFrame:
     """doc_id, ids, begins and ends (source byte spans; the end id's is empty), decoded text."""
 
@@ -342,9 +394,9 @@ def encode_documents(docs: DataFrame, model_path: str, add_end: bool = True) ->
             for start in range(0, len(batch), BLOCK_ROWS) if len(batch) else [0]:
                 part = batch.slice(start, BLOCK_ROWS)
                 columns, decoded = ([], [], []), []
-                for text in part.column(1).to_pylist():
-                    text = text or ""
-                    *own, back = coder.encode_arrays(text)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for text, chunks in (x for g in groups(texts) for x in zip(g, coder.prepare(g), strict=True)):
+                    *own, back = coder.encode_arrays(text, chunks)
                     if add_end:
                         size = len(text.encode())
                         own = [np.append(x, np.int32(y)) for x, y in zip(own, (coder.end, size, size), strict=True)]
