@@ -1,6 +1,7 @@
 """Quality rules, pieces, chat, packing and secrets against plain Python."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -233,6 +234,40 @@ def check_pieces(rows, ids_of, limit=4096):
     return by_sequence
 
 
+class Asked:
+    """A tokenizer that notes what it is asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, []
+
+    def encode(self, text, **more):
+        self.texts += [text] if isinstance(text, str) else text
+        return self.inner.encode(text, **more)
+
+
+def test_new_runs_of_many_words_are_merged_together():
+    """The model is asked for long runs alone, and all ids are the library's."""
+    library, own = Tokenizer.from_file(WORD_BPE), packing.WordEncoder(WORD_BPE)
+    own.model = Asked(own.model)
+    rng = random.Random(4)
+    made = ["".join(rng.choice("aaeinorstlmTHE\u00e9\u00df\u00d6\u00b50.7,'-<|\u03a3\u65e5") for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    made += ["it's", "we'll", "'re'd", "<|endoftext|>", "\u00e9" * 24, "a" * 48, "a" * 49, "\u00df" * 30, "." * 100, "\x00x", "x\x85y\u2028z"]
+    texts = [" ".join(rng.choices(made, k=40)) + rng.choice(["", "\n", " \t"]) for _ in range(300)] + ["", " ", *made[-11:]]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert not [x for x in own.model.texts if len(x) <= 48] and own.model.texts
+
+
+def test_models_with_other_rules_are_asked(tmp_path):
+    spec = json.loads(Tokenizer.from_file(WORD_BPE).to_str())
+    spec["model"]["ignore_merges"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    library, own = Tokenizer.from_file(str(path)), packing.WordEncoder(str(path))
+    for text in ["The quick brown fox's 12 d\u00e9j\u00e0-vu", prose(50, 1)]:
+        assert own.merger is None and np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     texts = [None, "", "it's we'll Ünï x² <|endoftext|> a\x85b", prose(9000, 1), *(prose(n, n) for n in range(1, 60)), "日本語\u3000x"]

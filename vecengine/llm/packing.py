@@ -23,15 +23,19 @@ is packed whole, however long; other columns are ignored.
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .merges import LONGEST, Merger
+from .pieces import MERGED_ROWS, groups
 from .words import worker_cache
 
 CACHE_WORDS = 300_000
@@ -41,36 +45,22 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _loaded: dict[str, "WordEncoder"] = worker_cache()
 
 
-class Learned(dict):
-    """A dictionary that works out what it is asked for the first time."""
-
-    def __init__(self, work):
-        super().__init__()
-        self.work = work
-        self.letters = 0
-
-    def __missing__(self, key):
-        found = self[key] = self.work(key)
-        self.letters += len(key)
-        return found
-
-    def forget(self):
-        self.clear()
-        self.letters = 0
-
-
 class WordEncoder:
     """Token ids of texts as little-endian uint32 bytes, one dictionary look-up a word.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it,
     so the ids of a text are those of its words in order. Words of ASCII and
-    Latin-1 letters are cut into the pre-tokeniser's runs here and only the
-    byte-pair model is asked, once a run; any other word goes the full way.
+    Latin-1 letters are cut into the pre-tokeniser's runs here, the new words of
+    many texts together, and their new runs of up to 48 bytes are merged
+    together by the model's own vocabulary and merges. Longer runs, and those of
+    a model with other rules than plain merges, are asked of the model, once a
+    run; any other word goes the full way.
     """
 
     #: The pre-tokeniser's pattern over the letters that SIMPLE admits.
     LETTERS = "a-zªµºß-öø-ÿ"
-    RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+    RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\n]+|\n")
+    BREAK = b"\xff\xff\xff\xff"
     SIMPLE = re.compile("[\x21-\x7eªµºÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str):
@@ -82,8 +72,24 @@ class WordEncoder:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(printable)]
         self.visible = {b: 256 + i for i, b in enumerate(others)}
-        self.known = Learned(self.word)
-        self.runs = Learned(self.run)
+        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.letters = 0
+        self.inner = self.last = self.merger = None
+        self._read_merges(json.loads(self.full.to_str())["model"])
+
+    def _read_merges(self, model: dict) -> None:
+        """Symbols of bytes inside a run and at its end, and the merger, if the model does nothing but merge and each merge makes a symbol of its own."""
+        other = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+        if model["type"] != "BPE" or any(model.get(x) for x in other):
+            return
+        ids, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        shown = [chr(self.visible.get(b, b)) for b in range(256)]
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        if len({a + b for a, b in pairs}) < len(pairs) or not {x for c in shown for x in (c, c + suffix)} <= ids.keys():
+            return
+        self.inner, self.last = np.array([[ids[c], ids[c + suffix]] for c in shown], np.int64).T
+        self.merger = Merger({(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)})
 
     @classmethod
     def load(cls, path: str) -> "WordEncoder":
@@ -91,25 +97,57 @@ class WordEncoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def run(self, run: str) -> bytes:
+    def ask(self, run: str) -> bytes:
         shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.visible)
         return self.as_bytes(self.model.encode(shown, add_special_tokens=False))
 
-    def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join([self.runs[r] for r in self.RUNS.findall(text.lower())])
-        return self.as_bytes(self.full.encode(text, add_special_tokens=False))
+    def learn_runs(self, runs: list[str]) -> None:
+        """Remembers the ids of runs, short ones merged together."""
+        coded = sorted(((r.encode(), r) for r in runs), key=lambda x: len(x[0]))
+        for start in range(0, len(coded), MERGED_ROWS):
+            part = [x for x in coded[start : start + MERGED_ROWS] if self.merger and len(x[0]) <= LONGEST]
+            for _, run in coded[start + len(part) : start + MERGED_ROWS]:
+                self.runs[run] = self.ask(run)
+            if part:
+                data = np.frombuffer(b"".join([x for x, _ in part]), np.uint8)
+                lengths = np.fromiter((len(x) for x, _ in part), np.int64, len(part))
+                symbols, ends = self.inner[data], np.cumsum(lengths) - 1
+                symbols[ends] = self.last[data[ends]]
+                ids, counts = self.merger.merge(symbols, lengths)
+                raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                self.runs.update((run, raw[a:b]) for (_, run), a, b in zip(part, [0, *ends], ends, strict=False))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of words."""
+        joined = b"\n".join(words).decode("utf-8", "replace")
+        texts = joined.split("\n")
+        self.letters += len(joined)
+        simple = [self.SIMPLE.fullmatch(t) is not None and "<|" not in t for t in texts]
+        found = self.RUNS.findall("\n".join([t for t, s in zip(texts, simple, strict=True) if s]).lower())
+        new = set(found).difference(self.runs)
+        new.discard("\n")
+        self.learn_runs(list(new))
+        self.runs["\n"] = self.BREAK
+        own = iter(b"".join(map(self.runs.__getitem__, found)).split(self.BREAK))
+        self.known.update((w, next(own) if s else self.as_bytes(self.full.encode(t, add_special_tokens=False))) for w, t, s in zip(words, texts, simple, strict=True))
 
     @staticmethod
     def as_bytes(coded) -> bytes:
         return array.array("I", coded.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        for cache in (self.known, self.runs):
-            if len(cache) > CACHE_WORDS or cache.letters > CACHE_LETTERS:
-                cache.forget()
-        return [b"".join(map(self.known.__getitem__, t.split())) for t in texts]
+        out = []
+        for group in groups(texts):
+            if max(len(self.known), len(self.runs)) > CACHE_WORDS or self.letters > CACHE_LETTERS:
+                self.known.clear()
+                self.runs.clear()
+                self.letters = 0
+            words = [t.split() for t in group]
+            new = set(chain.from_iterable(words)).difference(self.known)
+            if new:
+                self.learn(list(new))
+            out += [b"".join(map(self.known.__getitem__, w)) for w in words]
+        return out
 
     def encode_masked(self, text: bytes, mask: list[dict] | None) -> tuple[bytes, np.ndarray | None]:
         """Ids, and for each of them and the end id whether the mask's run that holds its first character bears loss."""
